@@ -16,6 +16,7 @@ of the input play no part.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,51 +26,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import wordhash
-from vellum.llm.setjoin import bitmap, connect
+from vellum.llm.setjoin import bitmap, connect, wide_bitmap
 from vellum.llm.workspace import materialize, sized
 
 #: Counters of the rarity sketch: 2 to this power, whatever the corpus.
-SKETCH_BITS = 18
+SKETCH_BITS = 22
 _BLOCKS, _SALTS = 64, 32
 _CLASS_SHIFT = np.uint64(60)
+#: Hashes counted at once.
+_FLUSH = 1 << 21
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """Rarity class, 0 (rare) to 15, of each of 2^SKETCH_BITS shingle buckets.
 
-    Counts cover every shingle of every document; what reaches the driver has
-    one size for all corpora (2 MB).
+    Counts cover every shingle of every document.  A bucket is of class 0 while
+    its count is what chance puts there; what reaches the driver has one size
+    for all corpora (at most 32 MB).
     """
     size = 1 << SKETCH_BITS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros(size, np.int64)
+        total, held, n = np.zeros(size, np.uint32), [], 0
         for batch in batches:
             for c in wordhash.chunks(batch.column(0)):
                 h, _, _ = wordhash.shingles(c)
-                total += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
+                held.append((h & np.uint64(size - 1)).astype(np.int32))
+                n += len(h)
+                if n >= _FLUSH:
+                    total += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
         salt = TaskContext.get().partitionId() % _SALTS
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(_BLOCKS, dtype=np.int32)), pa.array(np.full(_BLOCKS, salt, np.int32)), pa.array([b.tobytes() for b in np.split(total, _BLOCKS)], pa.binary())],
+            [pa.array(np.arange(_BLOCKS, dtype=np.int32)), pa.array(np.full(_BLOCKS, salt, np.int32)), pa.array([_packed(b) for b in np.split(total, _BLOCKS)], pa.binary())],
             names=["block", "salt", "counts"],
         )
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size // _BLOCKS, np.int64)
-        for b in pdf["counts"]:
-            total += np.frombuffer(b, np.int64)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "salt": pdf["salt"].iloc[:1], "counts": [total.tobytes()]})
+        total = sum(_unpacked(b).astype(np.uint64) for b in pdf["counts"])
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "salt": pdf["salt"].iloc[:1], "counts": [_packed(total)]})
 
     schema = "block int, salt int, counts binary"
     parts = docs.select("text").mapInArrow(count, schema).groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
-    total = np.zeros(size, np.int64).reshape(_BLOCKS, -1)
+    total = np.zeros((_BLOCKS, size // _BLOCKS))
     for row in parts.collect():  # _BLOCKS rows
-        total[row.block] = np.frombuffer(row.counts, np.int64)
+        total[row.block] = _unpacked(row.counts)
     total = total.reshape(-1)
-    often = total / max(4.0 * total.mean(), 8.0)
-    return np.clip(np.floor(np.log2(np.maximum(often, 0.5))) + 1, 0, 15).astype(np.uint64)
+    mean = total.mean()
+    excess = (total - mean) / (6 * np.sqrt(mean) + 8)
+    return np.clip(np.floor(np.log2(np.maximum(excess, 0.5))) + 1, 0, 15).astype(np.uint8)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return counts.dtype.char.encode() + zlib.compress(counts.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw[1:]), raw[:1].decode())
 
 
 def prefix_length(n: int) -> int:
@@ -81,7 +98,7 @@ def _sets(column: pa.Array, classes: np.ndarray) -> Iterator[np.ndarray]:
     mask = np.uint64(len(classes) - 1)
     for c in wordhash.chunks(column):
         h, _, at = wordhash.shingles(c)
-        keys = (classes[h & mask] << _CLASS_SHIFT) | (h >> np.uint64(4))
+        keys = (classes[h & mask].astype(np.uint64) << _CLASS_SHIFT) | (h >> np.uint64(4))
         for i in range(c.rows):
             own = np.sort(keys[at[i] : at[i + 1]])
             if len(own) > 1:
@@ -95,54 +112,59 @@ def set_id(keys: np.ndarray) -> int:
 
 
 def shingle_sets(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """doc_id, n, cid (null for the empty set), prefix."""
+    """doc_id, n, cid (of the set; null for the empty one), prefix, sig, wide."""
     kept = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cid, prefix = [], [], []
+            n, cid, prefix, sig, wide = [], [], [], [], []
             for keys in _sets(batch.column(1), kept.value):
                 n.append(len(keys))
                 cid.append(set_id(keys) if len(keys) else None)
                 prefix.append(keys[: prefix_length(len(keys))].view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)), pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), lists], names=["doc_id", "n", "cid", "prefix"])
+                sig.append(bitmap(keys))
+                wide.append(wide_bitmap(keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), _lists(prefix), _lists(sig), pa.array(wide, pa.binary())], names=["doc_id", "n", "cid", "prefix", "sig", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long, prefix array<long>, sig array<long>, wide binary")
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
 
 
 def set_arrays(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """id (of the set), keys, sig; for documents with a set."""
+    """ref (cid of the set), keys; for documents with a set."""
     kept = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(set_id(k), k.tobytes(), bitmap(k)) for k in _sets(batch.column(0), kept.value) if len(k)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
-                names=["id", "keys", "sig"],
-            )
+            rows = [(set_id(k), k.tobytes()) for k in _sets(batch.column(0), kept.value) if len(k)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["ref", "keys"])
 
-    return docs.select("text").mapInArrow(run, "id long, keys binary, sig array<long>")
+    return docs.select("text").mapInArrow(run, "ref long, keys binary")
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, n_shingles, component_id, n_links_class: one row per input row.
+    """documents(doc_id, text) -> doc_id, n_shingles, component_id: one row per input row.
 
-    component_id: the smallest doc_id that links reach; cid names the set itself.
+    component_id: the smallest doc_id that links reach.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = rarity(docs)
-    sets = materialize(shingle_sets(docs, classes), "sets")
-
-    def arrays_of(ids: DataFrame) -> DataFrame:
-        chosen = sets.join(ids.withColumnRenamed("id", "cid"), "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-        rows = docs.where("doc_id is not null").join(sized(materialize(chosen.select("doc_id").distinct(), "chosen")), "doc_id", "left_semi")
-        return set_arrays(rows, classes).join(ids, "id", "left_semi").dropDuplicates(["id"])
-
-    postings = sets.where("doc_id is not null and cid is not null").select(F.explode("prefix").alias("key"), F.col("cid").alias("id"))
-    labels = connect(postings, arrays_of)
-    member = sets.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    member = materialize(member, "members")
+    sets = materialize(shingle_sets(docs, classes).withColumn("row", F.monotonically_increasing_id()), "sets")
+    # one row stands for each distinct set; its place in the table is the set's id in the join
+    chosen = materialize(sets.where("doc_id is not null and cid is not null").groupBy("cid").agg(F.min("row").alias("row")), "chosen")
+    first = sets.join(sized(chosen.select("row")), "row", "left_semi")
+    nodes = first.select(F.col("row").alias("id"), F.col("cid").alias("ref"), "n", "sig", "wide")
+
+    def arrays_of(refs: DataFrame) -> DataFrame:
+        ids = first.select("doc_id", F.col("cid").alias("ref")).join(refs, "ref", "left_semi").select("doc_id").distinct()
+        return set_arrays(docs.join(sized(materialize(ids, "ids")), "doc_id", "left_semi"), classes)
+
+    labels = connect(first.select(F.explode("prefix").alias("key"), F.col("row").alias("id")), nodes, arrays_of)
+    by_set = chosen.join(labels.select(F.col("id").alias("row"), "label"), "row", "left").select("cid", F.coalesce("label", "row").alias("label"))
+    member = materialize(sets.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(by_set, "cid", "left"), "members")
     named = member.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return member.join(named, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -4,9 +4,11 @@ Callers give keys such that every pair of similar sets shares one (prefix
 tokens of a set-similarity join, bands of MinHash).  No list of all pairs
 within a key is ever made:
 
-1. star rounds - each key's members are verified against one leader, and keys
-   whose members all hang together already are dropped;
-2. the rest - sets of different components that still share a key meet in
+1. stars - each key's members are verified against one leader; keys whose
+   members all hang together already are dropped;
+2. crowds - in keys where a component has many members, ids outside it are
+   verified against a few of them, so a large group isn't compared pair by pair;
+3. the rest - sets of different components that still share a key meet in
    size-banded tiles, where the bit counts of hashed bitmaps bound the overlap
    from above; only survivors are verified on their sorted arrays.
 """
@@ -14,32 +16,79 @@ within a key is ever made:
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.components import components
-from vellum.llm.workspace import materialize
+from vellum.llm.workspace import materialize, sized
 
 #: 64-bit words of a bitmap signature.
 WORDS = 16
-STARS = 3
+#: Extra rounds for keys in which one component already has CROWD members, with so many leaders each.
+ROUNDS, CROWD, LEADERS = 3, 8, 4
 
 
 def bitmap(keys: np.ndarray) -> np.ndarray:
     """1024 hashed bits of a set of 64-bit hashes, as 16 longs."""
     bits = np.zeros(WORDS * 64, dtype=np.uint8)
-    bits[(keys >> np.uint64(3)) & np.uint64(WORDS * 64 - 1)] = 1
+    bits[(keys >> np.uint64(7)) & np.uint64(WORDS * 64 - 1)] = 1
     return np.packbits(bits).view(np.int64)
 
 
-def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """(a, b) whose sorted arrays have 100 * intersection >= 75 * union; with the two sizes."""
-    left = arrays.select(F.col("id").alias("a"), F.col("keys").alias("ka"))
-    right = arrays.select(F.col("id").alias("b"), F.col("keys").alias("kb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "kb").mapInArrow(_verify, "a long, b long")
+def wide_bitmap(keys: np.ndarray) -> bytes | None:
+    """For sets that would fill the narrow bitmap: a power of two of bits, twice the members at least."""
+    if len(keys) <= WORDS * 32:
+        return None
+    bits = np.zeros(1 << int(2 * len(keys) - 1).bit_length(), dtype=np.uint8)
+    bits[(keys >> np.uint64(7)) & np.uint64(len(bits) - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, arrays_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The (a, b) of pairs whose sets have 100 * intersection >= 75 * union, as a table.
+
+    Sizes and bitmaps come first; arrays are made only for sets of pairs that those leave.
+    """
+    pairs = materialize(pairs, "pairs")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    asked = nodes.join(sized(ids), "id", "left_semi")
+    own = lambda x: asked.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("ref", "n", "sig", "wide")))
+    left = pairs.join(own("a"), "a").join(own("b"), "b").where(_may_link("a", "b"))
+    left = materialize(left.select("a", "b", "ref_a", "ref_b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(_prune, "a long, b long, ref_a long, ref_b long"), "pairs")
+    refs = materialize(left.select(F.explode(F.array("ref_a", "ref_b")).alias("ref")).distinct(), "refs")
+    arrays = materialize(arrays_of(refs), "arrays")
+    return materialize(
+        left.join(arrays.select(F.col("ref").alias("ref_a"), F.col("keys").alias("ka")), "ref_a")
+        .join(arrays.select(F.col("ref").alias("ref_b"), F.col("keys").alias("kb")), "ref_b")
+        .select("a", "b", "ka", "kb")
+        .mapInArrow(_verify, "a long, b long"),
+        "links",
+    )
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Whether sizes and bit counts leave room for the overlap: the bits that differ are at most as many as the members that do."""
+    na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
+    apart = sum((F.bit_count(F.col(f"sig_{a}")[i].bitwiseXOR(F.col(f"sig_{b}")[i])) for i in range(WORDS)), F.lit(0))
+    return (100 * F.least(na, nb) >= 75 * F.greatest(na, nb)) & (na + nb >= 7 * apart)
+
+
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _may_link, over the wide bitmaps of large sets; the wider of two is folded to the other's width."""
+    for batch in batches:
+        keep = np.ones(batch.num_rows, dtype=bool)
+        for i, (na, nb, x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6), batch.column(7), strict=True)):
+            if not x.is_valid or not y.is_valid:
+                continue
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            width = min(len(x), len(y))
+            x, y = (np.bitwise_or.reduce(z.reshape(-1, width), axis=0) for z in (x, y))
+            keep[i] = na + nb >= 7 * int(np.bitwise_count(x ^ y).sum())
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,32 +109,45 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
 
-def connect(postings: DataFrame, arrays_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """postings (key, id), repeats allowed -> (id, label) for ids with a link; label: a long shared by what hangs together.
+def connect(postings: DataFrame, nodes: DataFrame, arrays_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """postings (key, id), each pair once -> (id, label) for ids with a link; label: a long shared by what hangs together.
 
-    arrays_of takes a table of distinct ids and returns (id, keys binary: sorted
-    64-bit hashes, sig array<long>: bitmap) with one row for each.
+    nodes: one row (id, ref, n, sig, wide) for each id: what arrays_of knows it by, its
+    size and its bitmaps.  arrays_of takes a table of distinct refs and returns
+    (ref, keys): sorted 64-bit hashes as bytes.
     """
-    shared = postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    multi = materialize(postings.join(shared, "key").select("key", "id").distinct(), "shared")
-    arrays = materialize(arrays_of(multi.select("id").distinct()).withColumn("n", F.expr(f"octet_length(keys) div 8")), "arrays")
-    links: DataFrame | None = None
-    open_keys = multi.withColumn("label", F.col("id"))
-    tried: DataFrame | None = None
-    for turn in range(STARS):
-        rank = F.xxhash64("label", F.lit(turn)) if turn else F.col("label")
-        lead = open_keys.groupBy("key").agg(F.min_by("id", F.struct(rank, "id")).alias("b"), F.min_by("label", F.struct(rank, "id")).alias("lb"))
-        pairs = open_keys.join(lead, "key").where("label <> lb").select(F.col("id").alias("a"), "b").distinct()
-        found = materialize(verified(pairs, arrays), "links")
-        links = found if links is None else links.union(found)
-        labels = materialize(components(links), "labels")
-        open_keys = materialize(_unsettled(multi, labels), "open")
-        if open_keys.isEmpty():
-            return labels
-    rest = materialize(verified(_tiles(open_keys, arrays), arrays), "links")
+    shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    every = materialize(postings.join(shared, "key").select("key", "id"), "shared")
+    # keys with the same members say the same: one of them stays
+    lists = every.groupBy("key").agg(F.bit_xor(F.xxhash64("id")).alias("digest"), F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    multi = materialize(every.join(lists.groupBy("digest", "n", "lo", "hi").agg(F.min("key").alias("key")).select("key"), "key"), "lists")
+    lead = multi.groupBy("key").agg(F.min("id").alias("b"))
+    links = [verified(multi.join(lead, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), nodes, arrays_of)]
+    for turn in range(ROUNDS + 1):
+        labels = materialize(components(reduce(DataFrame.union, links)), "labels")
+        rest = materialize(_unsettled(multi, labels), "open")
+        pairs = _crowds(rest, turn) if turn < ROUNDS else None
+        if pairs is None or not (tried := pairs.count()):
+            break
+        links.append(verified(pairs, nodes, arrays_of))
+        if 20 * links[-1].count() < tried:  # what is left seldom belongs to the crowd
+            labels = materialize(components(reduce(DataFrame.union, links)), "labels")
+            rest = materialize(_unsettled(multi, labels), "open")
+            break
     if rest.isEmpty():
         return labels
-    return materialize(components(links.union(rest)), "labels")
+    links.append(verified(_tiles(rest, nodes), nodes, arrays_of))
+    return labels if links[-1].isEmpty() else materialize(components(reduce(DataFrame.union, links)), "labels")
+
+
+def _crowds(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs for keys in which one component has CROWD members or more: each id outside it with LEADERS of its members."""
+    parts = rest.groupBy("key", "label").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD)
+    crowd = materialize(parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("x")).select("key", F.col("x.label").alias("crowd")), "crowds")
+    rows = rest.join(sized(crowd), "key")
+    order = F.xxhash64("id", F.lit(turn))
+    lead = rows.where("label = crowd").groupBy("key", F.pmod(order, F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct(order, F.col("id").alias("b"))).alias("x")).select("key", "x.b")
+    return materialize(rows.where("label <> crowd").join(lead, "key").select(F.col("id").alias("a"), "b").distinct(), "crowd_pairs")
 
 
 def _unsettled(multi: DataFrame, labels: DataFrame) -> DataFrame:
@@ -95,11 +157,12 @@ def _unsettled(multi: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(keys, "key")
 
 
-def _tiles(rows: DataFrame, arrays: DataFrame) -> DataFrame:
+def _tiles(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components in one key and in the same or neighbouring size band that the bitmaps can't rule out."""
-    rows = rows.join(arrays.select("id", "n", "sig"), "id").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9))
-    lower = rows.select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.explode(F.array("band", F.col("band") + 1)).alias("tile"))
-    upper = rows.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("band").alias("tile"))
-    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(WORDS)), F.lit(0))
-    fits = (F.col("la") != F.col("lb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (100 * F.col("na") >= 75 * F.col("nb"))
-    return lower.join(upper, ["key", "tile"]).where(fits & (F.col("na") + F.col("nb") >= 7 * apart)).select("a", "b").distinct()
+    ids = materialize(rows.select("id").distinct(), "ids")
+    rows = rows.join(nodes.select("id", "n", "sig").join(sized(ids), "id", "left_semi"), "id")
+    rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9))
+    lower, upper = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "n", "sig")), (F.explode(F.array("band", F.col("band") + 1)) if x == "a" else F.col("band")).alias("tile")) for x in "ab")
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+    pairs = lower.join(upper, ["key", "tile"]).where((F.col("label_a") != F.col("label_b")) & ordered & _may_link("a", "b"))
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()

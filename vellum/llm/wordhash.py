@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 SHINGLE = 5
 
 _U = np.uint64
@@ -34,7 +34,7 @@ def _byte_table() -> np.ndarray:
 
 
 _BYTES = _byte_table()
-_STEP = np.random.default_rng(7).integers(1, 2**64, 64, dtype=_U) | _U(1)
+_STEP = np.random.default_rng(7).integers(1, 2**64, 128, dtype=_U) | _U(1)
 
 
 @lru_cache(maxsize=4)
@@ -135,7 +135,6 @@ def line_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[Chunk, np.
         cuts = np.flatnonzero(data == 10) + 1
         bounds = np.sort(np.concatenate([own[:-1], cuts, own[-1:]]), kind="stable")
         # a row that starts right after another's final line feed has that position twice: one is the other's empty last line
-        line_row = np.searchsorted(own[1:], np.arange(0), side="right")
         counts = np.add.reduceat(np.concatenate([data == 10, [False]]), own[:-1]) if len(data) else np.zeros(last - row, np.int64)
         counts = np.where(own[1:] > own[:-1], counts, 0) + 1
         line_row = np.repeat(np.arange(last - row), counts)
