@@ -270,13 +270,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...]
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
+    own = (*columns, "held_out") if "text" in columns else (*columns, "held_out", "__text")
+    source = columns.index("text") if "text" in columns else len(own) - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _language_words()
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            parts = [shared.value.scores(c, known) for c in wordhash.chunks(text)]
+            parts = [shared.value.scores(c, known) for c in wordhash.chunks(batch.column(source))]
             score = np.concatenate(parts).astype(np.float64) if parts else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= DECISION).astype(np.int32))], names=[*columns, "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns) + 1], pa.array(score), pa.array((score >= DECISION).astype(np.int32))], names=[*columns, "held_out", "score", "predicted"])
 
-    rows = docs.select(*columns, held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("__text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in columns), held_out(F.col("doc_id")).alias("held_out"), *([] if "text" in columns else [F.col("text").cast("string").alias("__text")]))
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "held_out boolean, score double, predicted int"]))
