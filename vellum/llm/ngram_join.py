@@ -33,6 +33,8 @@ from vellum.llm.workspace import materialize, sized
 SKETCH_BITS = 22
 _BLOCKS, _SALTS = 64, 32
 _CLASS_SHIFT = np.uint64(60)
+#: Rows of one long that are broadcast at most.
+ROWS = 1_000_000
 #: Hashes counted at once.
 _FLUSH = 1 << 21
 
@@ -156,12 +158,14 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     sets = materialize(shingle_sets(docs, classes).withColumn("row", F.monotonically_increasing_id()), "sets")
     # one row stands for each distinct set; its place in the table is the set's id in the join
     chosen = materialize(sets.where("doc_id is not null and cid is not null").groupBy("cid").agg(F.min("row").alias("row")), "chosen")
-    first = sets.join(sized(chosen.select("row")), "row", "left_semi")
+    known = sets.where("doc_id is not null and cid is not null")
+    again = known.select("row", "cid").join(chosen.withColumnRenamed("row", "kept"), "cid").where("row <> kept").select("row")
+    first = known.join(sized(materialize(again, "again"), ROWS), "row", "left_anti")
     nodes = first.select(F.col("row").alias("id"), F.col("cid").alias("ref"), "n", "sig", "wide")
 
     def arrays_of(refs: DataFrame) -> DataFrame:
         ids = first.select("doc_id", F.col("cid").alias("ref")).join(refs, "ref", "left_semi").select("doc_id").distinct()
-        return set_arrays(docs.join(sized(materialize(ids, "ids")), "doc_id", "left_semi"), classes)
+        return set_arrays(docs.join(sized(materialize(ids, "ids"), ROWS), "doc_id", "left_semi"), classes)
 
     labels = connect(first.select(F.explode("prefix").alias("key"), F.col("row").alias("id")), nodes, arrays_of)
     by_set = chosen.join(labels.select(F.col("id").alias("row"), "label"), "row", "left").select("cid", F.coalesce("label", "row").alias("label"))
