@@ -1,8 +1,8 @@
 """Substring dedup: passages that stand in more than one place, found by MinHash banding of content-defined paragraphs.
 
-Method: every line is cut into pieces where the hash of a word pair is the
+Method: every text is cut into pieces where the hash of a word pair is the
 least among its neighbours, so the same words are cut in the same places
-wherever a passage stands, at a line's start or in its middle.  Each piece has
+wherever a passage stands and however its lines are broken.  Each piece has
 a MinHash signature over its five-word shingles; ``bands`` chooses how many
 bands of how many rows reach the wanted recall at a similarity of 0.75, and a
 longer passage has as many more chances as it has pieces.  Pieces that collide
@@ -32,7 +32,7 @@ from vellum.llm.workspace import materialize, sized
 
 #: Words to either side among which a cut's hash is the least.
 REACH = 4
-MIN_WORDS = 24
+MIN_WORDS = 20
 THRESHOLD, RECALL = 0.75, 0.98
 #: Pieces that a passage has at least, each with its own bands.
 PIECES = 3
@@ -56,14 +56,14 @@ def bands(threshold: float = THRESHOLD, recall: float = RECALL, chances: int = P
 
 
 def _cuts(c: wordhash.Chunk) -> np.ndarray:
-    """Words after which a piece ends: line ends, and words whose pair hash is the least within REACH words of the line."""
+    """Words after which a piece ends: text ends, and words whose pair hash is the least within REACH words."""
     n = len(c.words)
     if not n:
         return np.empty(0, np.int64)
     counts = np.diff(c.word_at)
-    line = np.repeat(np.arange(c.rows), counts)
-    place = np.arange(n) - c.word_at[line]
-    after = counts[line] - place - 1
+    row = np.repeat(np.arange(c.rows), counts)
+    place = np.arange(n) - c.word_at[row]
+    after = counts[row] - place - 1
     g = wordhash.mix(c.words + np.append(c.words[1:], _U(0)) * _U(0x9E3779B97F4A7C15))
     least = (place >= REACH) & (after > REACH)
     for k in range(1, REACH + 1):
@@ -74,18 +74,18 @@ def _cuts(c: wordhash.Chunk) -> np.ndarray:
 
 def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per chunk: the row, first word in the row and words of each piece; its shingles (sorted by piece) with offsets, and its id."""
-    for c, line_row, _ in wordhash.line_chunks(column):
+    for c in wordhash.chunks(column):
         if not len(c.words):
             continue
         ends = _cuts(c) + 1
         starts = np.concatenate([[0], ends[:-1]])
         p = wordhash.Chunk(c.first, len(ends), c.data, np.empty(0), c.starts, c.ends, np.append(starts, ends[-1]), c.words)
         h, _, at = wordhash.shingles(p)
-        row = line_row[np.searchsorted(c.word_at, starts, side="right") - 1]
+        row = np.searchsorted(c.word_at, starts, side="right") - 1
         row_first = np.searchsorted(row, row)
         mixed = wordhash.mix(h + _U(1))
         ids = wordhash.mix(np.add.reduceat(mixed * (np.arange(len(h)) - np.repeat(at[:-1], np.diff(at)) + 1).astype(_U), at[:-1]) + np.diff(at).astype(_U))
-        yield row, starts - starts[row_first], ends - starts, h, at, ids
+        yield row + c.first, starts - starts[row_first], ends - starts, h, at, ids
 
 
 def piece_table(docs: DataFrame, n_bands: int, n_rows: int) -> DataFrame:
