@@ -16,9 +16,12 @@ columns of the input play no part.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,46 +34,116 @@ CAPACITY = 4096
 END = 1
 #: Ranks within a length are counted in so many parts, so no length is one task's.
 PARTS = 64
-#: Words whose ids a worker keeps; the cache is emptied when full.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps: the first that it meets, so nearly all frequent ones.
+CACHE_WORDS = 300_000
+
+
+def _split(text: str) -> list[str]:
+    """Blank-separated words; ASCII ones in lower case, as the vocabulary has them."""
+    special = "<|" in text  # special tokens are told by their case
+    if text.isascii() and not special:
+        text = text.lower()
+    words = text.replace("\n", " ").split(" ")
+    return words if special or text.isascii() else [w.lower() if w.isascii() else w for w in words]
+
+
+def _point(word: str) -> bool:
+    """Whether a word is an ASCII letter and what stands before it, then one point: the vocabulary parts them there."""
+    return len(word) > 1 and word[-1] in ",.!?" and word[-2].isascii() and word[-2].isalpha()
 
 
 class CachedTokenizer:
-    """Ids of a text as the tokenizer gives them, by way of its blank-separated words.
+    """Ids of texts as the tokenizer gives them, by way of their blank-separated words.
 
     The vocabulary drops white space and never joins across it, so a text's ids
-    are those of its words in turn.
+    are those of its words in turn.  Known words have their ids in one flat array.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        cache = self.cache
-        missing = list({w for words in split for w in words if w not in cache})
-        if len(cache) + len(missing) > CACHE_WORDS:
-            cache.clear()
-            missing = list({w for words in split for w in words})
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            cache[w] = tuple(e.ids)
-        return [[i for w in words for i in cache[w]] for words in split]
+        self.points = {p: self.tokenizer.encode(p, add_special_tokens=False).ids for p in ",.!?"}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.known: dict[str, int] = {}
+        self.flat = np.empty(0, np.uint32)
+        self.starts = np.empty(0, np.int64)
+        self.sizes = np.empty(0, np.int64)
+
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words, many letters-only ones to a text: each of those is one unit, whose last id alone ends a word."""
+        plain = [w for w in words if w.isalpha()]
+        found: dict[str, list[int]] = {}
+        parts = [plain[i : i + 400] for i in range(0, len(plain), 400)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+            ids = e.ids
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(part):  # every word has one end at least, so each has just one
+                found.update(zip(part, (ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())), strict=True))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        return [found[w] for w in words]
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of words, in the tokenizer's hands only once for each word without its point."""
+        stems = dict.fromkeys(w[:-1] if _point(w) else w for w in words)
+        new = [w for w in stems if w not in self.known]
+        found = dict(zip(new, self._encode_words(new), strict=True))
+        for w in stems:
+            if w not in found:
+                i = self.known[w]
+                found[w] = self.flat[self.starts[i] : self.starts[i] + self.sizes[i]].tolist()
+        return [found[w[:-1]] + self.points[w[-1]] if _point(w) else found[w] for w in words]
+
+    def _learn(self, words: list[str]) -> None:
+        ids = self._ids(words)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [_split(t) for t in texts]
+        words = list(chain.from_iterable(split))
+        full, before = len(self.known) >= CACHE_WORDS, (len(self.known), len(self.flat))
+        at = np.array(list(map(self.known.get, words, repeat(-1))), np.int64)
+        unknown = np.flatnonzero(at < 0).tolist()
+        missing = list(dict.fromkeys(words[i] for i in unknown))
+        if missing:
+            self._learn(missing)
+            at[unknown] = [self.known[words[i]] for i in unknown]
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        past = np.cumsum([len(own) for own in split])
+        if full:  # what comes now is rare: it isn't kept
+            for w in missing:
+                del self.known[w]
+            self.starts, self.sizes, self.flat = self.starts[: before[0]], self.sizes[: before[0]], self.flat[: before[1]]
+        return np.split(ids, ends[past[:-1] - 1]) if len(split) > 1 else [ids]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> CachedTokenizer:
+    """A worker's tokenizer, with the words it knows from earlier tasks."""
+    return CachedTokenizer(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """documents(doc_id, text) -> doc_id, piece, start, length, ids_crc32: each document's ids and the end token, cut at capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedTokenizer(tokenizer)
+        own_encoder = encoder(tokenizer)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
-            for at in range(0, len(ids), 64):
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for doc, tokens in zip(ids[at : at + 64], encoder.encode(texts[at : at + 64]), strict=True):
-                    raw = np.array([*tokens, END], dtype="<u4")
+                for doc, tokens in zip(part.column(0).to_pylist(), own_encoder.encode(part.column(1).fill_null("").to_pylist()), strict=True):
+                    raw = np.append(tokens, np.uint32(END)).astype("<u4")
                     for piece, start in enumerate(range(0, len(raw), capacity)):
                         own = raw[start : start + capacity]
                         for column, value in zip(out, (doc, piece, start, len(own), zlib.crc32(own.tobytes())), strict=True):
