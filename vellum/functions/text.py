@@ -72,12 +72,13 @@ def word_count(text: Column) -> Column:
 
 def language(text: Column) -> Column:
     """zh, en or mixed by the counts of CJK characters and Latin words."""
-    zh, en = cjk_count(text), word_count(text)
-    return (
-        F.when((zh == 0) & (en == 0), "mixed")
-        .when(zh >= F.greatest(F.lit(10), F.floor(en * 1.2)), "zh")
-        .when(en >= F.greatest(F.lit(10), 2 * zh), "en")
-        .otherwise("mixed")
+    counts = F.struct(cjk_count(text).alias("zh"), word_count(text).alias("en"))
+    return let(
+        counts,
+        lambda n: F.when((n["zh"] == 0) & (n["en"] == 0), "mixed")
+        .when(n["zh"] >= F.greatest(F.lit(10), F.floor(n["en"] * 1.2)), "zh")
+        .when(n["en"] >= F.greatest(F.lit(10), 2 * n["zh"]), "en")
+        .otherwise("mixed"),
     )
 
 
