@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -78,13 +79,15 @@ def best_branches(messages: DataFrame, branches: int = 1) -> DataFrame:
     scores = messages.select("tree", F.col("msg").alias("node"), F.coalesce("score", F.lit(0.0)).alias("sum"), F.lit(1).cast("long").alias("n"))
     # per node: the score of the messages from it up to, not with, the one 2^k above; nodes with no such message hold their sum up to the root
     hop = materialize(scores.join(links, ["tree", "node"], "left").select("tree", "node", "up", "sum", "n"), "hops")
-    rounds = max(1, int(messages.count()).bit_length())
-    for _ in range(rounds + 1):
-        if hop.where("up is not null").isEmpty():
+    done, live = [hop.where("up is null")], hop.where("up is not null")
+    for _ in range(int(messages.count()).bit_length() + 1):  # more rounds than that only go round a cycle
+        if live.isEmpty():
             break
-        above = hop.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("n2"))
-        hop = materialize(hop.join(above, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), "hops")
-    rooted = hop.where("up is null").select("tree", F.col("node").alias("leaf"), (F.col("sum") / F.col("n")).alias("mean"))
+        state = reduce(DataFrame.union, [*done, live])
+        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("n2"))
+        hop = materialize(live.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("n") + F.col("n2")).alias("n")), "hops")
+        done, live = [*done, hop.where("up is null")], hop.where("up is not null")
+    rooted = reduce(DataFrame.union, done).select("tree", F.col("node").alias("leaf"), (F.col("sum") / F.col("n")).alias("mean"))
     ranked = leaves.select("tree", F.col("msg").alias("leaf")).join(rooted, ["tree", "leaf"])
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))
     return ranked.withColumn("rank", rank).where(F.col("rank") <= branches).select("tree", "leaf", "rank")
