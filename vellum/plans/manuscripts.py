@@ -100,3 +100,10 @@ def manuscripts(docs: DataFrame) -> DataFrame:
 
 
 MANUSCRIPTS_SQL = f"m as (select doc_id, {_sql(False)} as before, {_sql(True)} as after from documents where doc_id is not null)"
+
+
+def chinese(docs: DataFrame) -> DataFrame:
+    """documents(doc_id, text) -> doc_id, text: a Chinese sentence for each line, chosen by the line's length."""
+    known = F.array(*(F.lit(s) for s in ("本研究结果表明方法有效。", "数据分析方法仍需验证。", "深度学习模型有效。", "证据不能证明因果关系。", "未来研究应当检验方法。")))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    return docs.select("doc_id", F.array_join(F.transform(lines, lambda x: F.get(known, F.length(x) % 5)), "").alias("text"))

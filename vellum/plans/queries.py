@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.operators import gate, guard, lock, segment, style, texture
-from vellum.plans.manuscripts import manuscripts
+from vellum.plans.manuscripts import chinese, manuscripts
 from vellum.plans.oracles import TERMS
 
 
@@ -51,7 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stock_phrases": _on(_before, style.stock_phrases),
         "transition_hedge_booster": _on(_before, style.term_counts),
         "triadic_lists": _on(_before, style.triads),
-        "repeated_cjk_phrases": _on(_documents, style.cjk_phrases),
+        "repeated_cjk_phrases": _on(lambda spark, sf_dir: chinese(_documents(spark, sf_dir)), style.cjk_phrases),
         "clean_markdown_pages": lambda spark, sf_dir: _long(style.clean_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))),
         "lock_numbers": _on(_pairs, of("numbers"), "category"),
         "lock_citations": _on(_pairs, of("citations"), "category"),
