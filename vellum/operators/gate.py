@@ -21,12 +21,18 @@ class Limits:
     publication_ready: bool = False
 
 
-def document_facts(pairs: DataFrame, suffix: str = ".md") -> DataFrame:
-    """doc_id, language (of both texts), move_language, before_units, after_units."""
-    rows = pairs.select("doc_id", T.clean(F.col("before"), suffix).alias("b"), T.clean(F.col("after"), suffix).alias("a"))
+def with_language(pairs: DataFrame, suffix: str = ".md") -> DataFrame:
+    """The pairs with language (of both texts), move_language and the cleaned texts b and a."""
+    rows = pairs.select("doc_id", "before", "after", T.clean(F.col("before"), suffix).alias("b"), T.clean(F.col("after"), suffix).alias("a"))
     rows = rows.withColumn("language", T.language(F.concat_ws("\n", "b", "a")))
     moves = F.when(F.col("language") != "mixed", F.col("language")).when(T.word_count(F.col("a")) >= T.cjk_count(F.col("a")), "en").otherwise("zh")
-    return rows.select("doc_id", "language", moves.alias("move_language"), T.units(F.col("b"), F.col("language")).alias("before_units"), T.units(F.col("a"), F.col("language")).alias("after_units"))
+    return rows.withColumn("move_language", moves)
+
+
+def document_facts(pairs: DataFrame, suffix: str = ".md") -> DataFrame:
+    """doc_id, language, move_language, before_units, after_units."""
+    rows = with_language(pairs, suffix)
+    return rows.select("doc_id", "language", "move_language", T.units(F.col("b"), F.col("language")).alias("before_units"), T.units(F.col("a"), F.col("language")).alias("after_units"))
 
 
 def grams(body: Column, lang: Column) -> Column:
@@ -41,21 +47,23 @@ def grams(body: Column, lang: Column) -> Column:
 
 def _candidates(pairs: DataFrame, column: str) -> DataFrame:
     """One section for each key: the last; a title above others isn't one."""
-    rows = segment.sections(pairs, column).where(~((F.col("level") == 1) & (F.col("n_sections") > 1)))
-    last = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.desc("pos")))
-    return rows.withColumn("r", last).where("r = 1").select("doc_id", "key", "title", "body")
+    carry = ("language",) if "language" in pairs.columns else ()
+    rows = segment.sections(pairs, column, carry).where(~((F.col("level") == 1) & (F.col("n_sections") > 1)))
+    last = rows.groupBy("doc_id", "key", *carry).agg(F.max_by(F.struct("title", "body"), "pos").alias("x"))
+    return last.select("doc_id", "key", *carry, "x.title", "x.body")
 
 
 def _versions(pairs: DataFrame) -> DataFrame:
     """doc_id, key, then title and body before and after (null where there is no such section): one aggregation over both versions."""
+    carry = [c for c in ("language",) if c in pairs.columns]
     both = _candidates(pairs, "before").withColumn("side", F.lit("b")).union(_candidates(pairs, "after").withColumn("side", F.lit("a")))
     of = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    return both.groupBy("doc_id", "key").agg(of("b", "title").alias("before_title"), of("b", "body").alias("before_body"), of("a", "title").alias("after_title"), of("a", "body").alias("after_body"))
+    return both.groupBy("doc_id", "key", *carry).agg(of("b", "title").alias("before_title"), of("b", "body").alias("before_body"), of("a", "title").alias("after_title"), of("a", "body").alias("after_body"))
 
 
 def section_retention(pairs: DataFrame) -> DataFrame:
     """doc_id, key, titles, units before and after, retention (unrounded; null if there was nothing)."""
-    rows = _versions(pairs).where("before_title is not null and after_title is not null").join(document_facts(pairs).select("doc_id", "language"), "doc_id")
+    rows = _versions(with_language(pairs)).where("before_title is not null and after_title is not null")
     rows = rows.select("doc_id", "key", "before_title", "after_title", T.units(F.col("before_body"), F.col("language")).alias("before_units"), T.units(F.col("after_body"), F.col("language")).alias("after_units"))
     return rows.withColumn("retention", F.when(F.col("before_units") > 0, F.col("after_units") / F.col("before_units")))
 
@@ -76,7 +84,7 @@ def _counted(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def content_recall(pairs: DataFrame) -> DataFrame:
     """doc_id, key, retained, total, recall: content grams of a matched section that are still there (1.0 if it had none)."""
-    rows = _versions(pairs).where("before_title is not null and after_title is not null").join(document_facts(pairs).select("doc_id", "language"), "doc_id")
+    rows = _versions(with_language(pairs)).where("before_title is not null and after_title is not null")
     keys = rows.select("doc_id", "key")
     sums = _counted(rows.select("doc_id", "key", "language", F.col("before_body").alias("x"), F.col("after_body").alias("y")), ["doc_id", "key"])
     sums = sums.groupBy("doc_id", "key").agg(F.sum(F.least("nb", "na")).alias("retained"), F.sum("nb").alias("total"))
@@ -86,10 +94,10 @@ def content_recall(pairs: DataFrame) -> DataFrame:
 
 def abstract_conclusion(pairs: DataFrame) -> DataFrame:
     """doc_id, dot, abstract_square, conclusion_square, cosine, for documents whose revision has both sections."""
-    rows = segment.sections(pairs, "after")
+    rows = segment.sections(with_language(pairs), "after", ("language",))
     named = F.lower("title").rlike("|".join(rf"\Q{h}\E" for h in P.CONCLUSION))
-    rows = rows.groupBy("doc_id").agg(F.min_by(F.when(F.col("key") == "abstract", F.col("body")), F.when(F.col("key") == "abstract", F.col("pos"))).alias("x"), F.max_by(F.when(named, F.col("body")), F.when(named, F.col("pos"))).alias("y"))
-    rows = rows.where("x is not null and y is not null").join(document_facts(pairs).select("doc_id", "language"), "doc_id")
+    rows = rows.groupBy("doc_id", "language").agg(F.min_by(F.when(F.col("key") == "abstract", F.col("body")), F.when(F.col("key") == "abstract", F.col("pos"))).alias("x"), F.max_by(F.when(named, F.col("body")), F.when(named, F.col("pos"))).alias("y"))
+    rows = rows.where("x is not null and y is not null")
     sums = _counted(rows, ["doc_id"]).groupBy("doc_id").agg(F.sum(F.col("nb") * F.col("na")).alias("dot"), F.sum(F.col("nb") * F.col("nb")).alias("abstract_square"), F.sum(F.col("na") * F.col("na")).alias("conclusion_square"))
     out = rows.select("doc_id").join(sums, "doc_id", "left").select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("dot", "abstract_square", "conclusion_square")))
     norm = F.sqrt(F.col("abstract_square").cast("double")) * F.sqrt(F.col("conclusion_square").cast("double"))
@@ -98,7 +106,7 @@ def abstract_conclusion(pairs: DataFrame) -> DataFrame:
 
 def architecture(pairs: DataFrame) -> DataFrame:
     """doc_id and the lengths of the revision's body sections: n, sum, squares, min, max, cv (sample deviation; 0 for one)."""
-    rows = segment.body_sections(segment.sections(pairs, "after")).join(document_facts(pairs).select("doc_id", "language"), "doc_id")
+    rows = segment.body_sections(segment.sections(with_language(pairs), "after", ("language",)))
     rows = rows.select("doc_id", T.units(F.col("body"), F.col("language")).alias("u"))
     out = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("u").alias("sum"), F.sum(F.col("u") * F.col("u")).alias("squares"), F.min("u").alias("min"), F.max("u").alias("max"))
     return out.withColumn("cv", sample_cv(F.col("n"), F.col("sum"), F.col("squares")))
@@ -116,7 +124,7 @@ def labels(sentence: Column, lang: Column, moves: dict = P.MOVES) -> dict[str, C
 
 def move_profiles(pairs: DataFrame) -> DataFrame:
     """doc_id, pos, section, sentences, labelled, claim, boundary, recommendation, either (boundary or recommendation), profile."""
-    rows = segment.body_sections(segment.sections(pairs, "after")).join(document_facts(pairs).select("doc_id", "move_language"), "doc_id")
+    rows = segment.body_sections(segment.sections(with_language(pairs), "after", ("move_language",)))
     rows = rows.select("doc_id", "pos", "title", "move_language", F.posexplode_outer(T.all_sentences(T.clean(F.col("body"), ".md"))).alias("at", "s"))
     marks = labels(F.col("s"), F.col("move_language"))
     rows = rows.select("doc_id", "pos", "title", "at", *(F.coalesce(m, F.lit(False)).alias(k) for k, m in marks.items()))

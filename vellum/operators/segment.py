@@ -41,10 +41,10 @@ def section_array(text: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(whole)
 
 
-def sections(docs: DataFrame, column: str) -> DataFrame:
-    """doc_id, pos, n_sections, level, title, key, body."""
-    rows = docs.select("doc_id", section_array(F.col(column)).alias("s")).select("doc_id", F.size("s").alias("n_sections"), F.posexplode("s").alias("pos", "s"))
-    out = rows.select("doc_id", "pos", "n_sections", "s.level", "s.title", "s.body")
+def sections(docs: DataFrame, column: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried columns, pos, n_sections, level, title, key, body."""
+    rows = docs.select("doc_id", *carry, section_array(F.col(column)).alias("s")).select("doc_id", *carry, F.size("s").alias("n_sections"), F.posexplode("s").alias("pos", "s"))
+    out = rows.select("doc_id", *carry, "pos", "n_sections", "s.level", "s.title", "s.body")
     key = F.when((F.col("n_sections") == 1) & (F.col("title") == "Document") & (F.col("level") == 1), "document").otherwise(section_key(F.col("title")))
     return out.withColumn("key", key)
 
