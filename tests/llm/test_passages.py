@@ -55,7 +55,8 @@ def test_edited_copies(spark):
 def test_edges(spark):
     rng = random.Random(3)
     text, long = " ".join(words(rng, 80)), " ".join(words(rng, 30000))
-    out = run(spark, [(1, None), (2, ""), (3, " \n\n "), (4, "a"), (4, "a"), (5, text), (6, text), (None, text), (7, long), (8, long), (9, f"{text}\n\n{text}")])
+    text2 = " ".join(words(rng, 90))
+    out = run(spark, [(1, None), (2, ""), (3, " \n\n "), (4, "a"), (4, "a"), (5, text), (6, text), (None, text), (7, long), (8, long), (9, f"{text}\n\n{text}"), (10, " ".join(["over and over the same six words again"] * 30)), (11, text2), (11, text2)])
     by = {}
     for r in out:
         by.setdefault(r.doc_id, []).append((r.first_word, r.n_words, r.removed_words))

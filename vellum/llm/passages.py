@@ -1,4 +1,4 @@
-"""Substring dedup: passages that stand in more than one place, found by MinHash banding of content-defined paragraphs.
+"""Substring dedup: passages that stand in more than one document, found by MinHash banding of content-defined paragraphs.
 
 Method: every text is cut into pieces where the hash of a word pair is the
 least among its neighbours, so the same words are cut in the same places
@@ -12,8 +12,9 @@ pieces of a document make a passage; passages of fewer than ``min_words``
 repeated words (short stock lines, chance) are left alone.
 
 Defined cases: null and blank texts have no pieces; a piece's occurrence that
-stays is the first by doc_id (nulls last), then place; repeats inside a document count;
-repeated rows are occurrences of their own; an empty table gives no rows; other
+stays is the first by doc_id (nulls last), then place; what only one document
+repeats isn't a passage, but repeats inside one count once another document has
+it; rows of one doc_id, or without any, are one document; an empty table gives no rows; other
 columns play no part.
 """
 
@@ -142,7 +143,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pieces = materialize(piece_table(docs.withColumn("row", F.coalesce("doc_id", F.lit(2**63 - 1))), n_bands, n_rows), "pieces")
 
     # pieces with a partner: of the same words elsewhere, or linked to others
-    kinds = pieces.groupBy("id").agg(F.min(F.struct("row", "first_word")).alias("kept"), F.count("*").alias("n"), F.min("keys").alias("keys"))
+    kinds = pieces.groupBy("id").agg(F.min(F.struct("row", "first_word")).alias("kept"), F.max("row").alias("past"), F.min("keys").alias("keys"))
     kinds = materialize(kinds, "kinds")
     postings = kinds.select(F.explode("keys").alias("key"), "id")
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -153,8 +154,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     nodes = arrays.select("id", F.col("id").alias("ref"), "n", "sig", F.lit(None).cast("binary").alias("wide"))
     labels = connect(near.join(nodes.select("id"), "id", "left_semi"), nodes, lambda refs: arrays.join(refs.withColumnRenamed("ref", "id"), "id", "left_semi").select(F.col("id").alias("ref"), "keys"))
 
-    clusters = kinds.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "kept", "n")
-    several = clusters.groupBy("label").agg(F.min("kept").alias("kept"), F.sum("n").alias("n")).where("n > 1")
+    clusters = kinds.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "kept", "past")
+    several = clusters.groupBy("label").agg(F.min("kept").alias("kept"), F.max("past").alias("past")).where("kept.row < past")
     repeated = materialize(clusters.select("id", "label").join(several, "label").select("id", F.col("kept.row").alias("kept_row"), F.col("kept.first_word").alias("kept_word")), "repeated")
     spots = pieces.select("row", "first_word", "words", "id").join(sized(repeated), "id")
     w = Window.partitionBy("row").orderBy("first_word", "kept_row", "kept_word")
