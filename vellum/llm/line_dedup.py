@@ -22,32 +22,39 @@ rows; other columns are carried along whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.workspace import materialize, sized
+from vellum.llm.workspace import discard, materialize, sized
 
 SHINGLE = 5
 #: Counters of the rarity sketch.
 SKETCH = 1 << 16
-#: Rows of one or two longs that are broadcast at most.
+#: Rows of a few longs that are broadcast at most; of one long, twice as many.
 KEYS = 1_000_000
 _LAST = 2**63 - 1
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a name inside a lambda would compute it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _tokens(words: Column) -> Column:
     """Hashes of a line's five-word shingles, distinct; positive."""
+    window = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(SHINGLE))).bitwiseAND(F.lit(_LAST)))
+    few = lambda h: F.array(F.xxhash64(h, F.size(h)).bitwiseAND(F.lit(_LAST)))
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    many = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(SHINGLE))).bitwiseAND(F.lit(_LAST)))
-    few = F.array(F.xxhash64(F.array_join(words, " "), F.size(words)).bitwiseAND(F.lit(_LAST)))
-    return F.array_distinct(F.when(F.size(words) >= SHINGLE, many).otherwise(few))
+    return F.array_distinct(_let(hashes, lambda h: F.when(F.size(h) >= SHINGLE, window(h)).otherwise(few(h))))
 
 
 def line_tokens(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> d, h, line (where it stands), tokens, for every line that isn't blank."""
     rows = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    words = rows.select("d", "h", "line", F.array_remove(F.split(F.lower("content"), " "), "").alias("words")).where("size(words) > 0")
-    return words.select("d", "h", "line", _tokens(F.col("words")).alias("tokens"))
+    tokens = rows.select("d", "h", "line", _tokens(F.array_remove(F.split(F.lower("content"), " "), "")).alias("tokens"), F.trim("content").alias("content"))
+    return tokens.where("content <> ''").drop("content")
 
 
 def _often(lines: DataFrame) -> list[int]:
@@ -79,18 +86,23 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     prefix = F.slice(_ordered(F.col("tokens"), often), 1, n - F.ceil(n * 0.75).cast("int") + 1)
     digest = F.xxhash64(F.sort_array("tokens"))
     sets = materialize(lines.select("d", "h", "line", n.alias("n"), digest.alias("id"), prefix.alias("prefix")), "sets")
+    discard(lines)  # half of all bytes; the tokens of candidates are made again
     place = F.struct("d", "h", "line")
     first = materialize(sets.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "classes")
 
     postings = sets.select("id", "n", F.posexplode("prefix").alias("at", "key"))
     shared = postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    shared = sized(materialize(shared, "shared"), KEYS)
+    shared = sized(materialize(shared, "shared"), 2 * KEYS)
     near = materialize(postings.join(shared, "key").groupBy("key", "id").agg(F.first("n").alias("n"), F.first("at").alias("at")), "near")
     ids = sized(materialize(near.select("id").distinct(), "ids"), KEYS)
     spots = first.join(ids, "id", "left_semi").select("id", "first")
     wanted = sized(materialize(spots.select("id", "first.*"), "spots"), KEYS)
-    tokens = lines.join(wanted, ["d", "h", "line"]).select("id", "d", "h", "line", "tokens").dropDuplicates(["id"])
+    owners = sized(materialize(wanted.select("d", "h").distinct(), "owners"), KEYS)
+    held = docs.withColumn("d", F.coalesce("doc_id", F.lit(_LAST))).withColumn("h", F.xxhash64("text")).join(owners, ["d", "h"], "left_semi").select("doc_id", "text")
+    tokens = line_tokens(held).join(wanted, ["d", "h", "line"]).select("id", "d", "h", "line", "tokens").dropDuplicates(["id"])
+    tokens = materialize(tokens, "tokens")
     sigs = materialize(tokens.select("id", F.struct("d", "h", "line").alias("first"), "tokens", _bits(F.col("tokens"), 0).alias("s0"), _bits(F.col("tokens"), 1).alias("s1")), "signed")
+    discard(tokens)
 
     rows = materialize(near.join(sigs.drop("tokens"), "id"), "rows")
     lead = rows.groupBy("key").agg(F.min(F.struct("first", "id", "n", "s0", "s1")).alias("x")).select("key", F.col("x.id").alias("b"), F.col("x.n").alias("n_b"), F.col("x.s0").alias("s0_b"), F.col("x.s1").alias("s1_b"))

@@ -48,7 +48,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vellum_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a materialized table that nothing will read again."""
+    jvm, path = table.sparkSession.sparkContext._jvm, table._vellum_path
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
