@@ -35,7 +35,7 @@ END = 1
 #: Ranks within a length are counted in so many parts, so no length is one task's.
 PARTS = 64
 #: Words whose ids a worker keeps: the first that it meets, so nearly all frequent ones.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 def _split(text: str) -> list[str]:
@@ -69,7 +69,7 @@ class CachedTokenizer:
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, int] = {}
-        self.flat = np.empty(0, np.uint32)
+        self.flat = np.empty(0, "<u4")
         self.starts = np.empty(0, np.int64)
         self.sizes = np.empty(0, np.int64)
 
@@ -133,6 +133,16 @@ def encoder(path: str) -> CachedTokenizer:
     return CachedTokenizer(path)
 
 
+_END = np.uint32(END).astype("<u4").tobytes()
+
+
+def _cut(doc: int | None, tokens: np.ndarray, capacity: int) -> list[tuple]:
+    """The pieces of a document that fills more than one sequence."""
+    raw = np.append(tokens, np.uint32(END)).astype("<u4")
+    pieces = [raw[start : start + capacity] for start in range(0, len(raw), capacity)]
+    return [(doc, i, i * capacity, len(p), zlib.crc32(p.tobytes())) for i, p in enumerate(pieces)]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """documents(doc_id, text) -> doc_id, piece, start, length, ids_crc32: each document's ids and the end token, cut at capacity."""
 
@@ -141,15 +151,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out: tuple[list, ...] = ([], [], [], [], [])
+                rows: list = []
                 for doc, tokens in zip(part.column(0).to_pylist(), own_encoder.encode(part.column(1).fill_null("").to_pylist()), strict=True):
-                    raw = np.append(tokens, np.uint32(END)).astype("<u4")
-                    for piece, start in enumerate(range(0, len(raw), capacity)):
-                        own = raw[start : start + capacity]
-                        for column, value in zip(out, (doc, piece, start, len(own), zlib.crc32(own.tobytes())), strict=True):
-                            column.append(value)
+                    if len(tokens) < capacity:
+                        rows.append((doc, 0, 0, len(tokens) + 1, zlib.crc32(_END, zlib.crc32(tokens))))
+                    else:
+                        rows += _cut(doc, tokens, capacity)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+                    [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
