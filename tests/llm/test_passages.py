@@ -77,3 +77,14 @@ def test_exact_repeats_against_brute_force(spark, sf_dir):
             hit |= ids
     found = {r.doc_id for r in run(spark, rows)}
     assert len(hit & found) >= 0.97 * len(hit)
+
+
+def test_repeats_of_short_periods(spark):
+    """A phrase of one to four words said over and over is cut, so it is found in whatever stands round it."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(1, 5):
+        phrase = words(rng, k)
+        for i in range(6):
+            rows.append((10 * k + i, " ".join(words(rng, 40 + i) + (phrase * 60)[:60] + words(rng, 40))))
+    assert {r.doc_id for r in run(spark, rows)} == {i for i, _ in rows}

@@ -33,6 +33,8 @@ from vellum.llm.workspace import materialize, sized
 
 #: Words to either side among which a cut's hash is the least.
 REACH = 4
+#: Words from cut to cut where equal least hashes follow each other: a multiple of every period up to REACH.
+SPAN = 12
 MIN_WORDS = 20
 THRESHOLD, RECALL = 0.75, 0.98
 #: Pieces that a passage has at least, each with its own bands.
@@ -57,7 +59,11 @@ def bands(threshold: float = THRESHOLD, recall: float = RECALL, chances: int = P
 
 
 def _cuts(c: wordhash.Chunk) -> np.ndarray:
-    """Words after which a piece ends: text ends, and words whose pair hash is the least within REACH words."""
+    """Words after which a piece ends: text ends, and words whose pair hash is the least within REACH words.
+
+    Of equal ones that follow each other within REACH words, as in a phrase said over and
+    over, the first is a cut and then one in every SPAN words.
+    """
     n = len(c.words)
     if not n:
         return np.empty(0, np.int64)
@@ -68,9 +74,14 @@ def _cuts(c: wordhash.Chunk) -> np.ndarray:
     g = wordhash.mix(c.words + np.append(c.words[1:], _U(0)) * _U(0x9E3779B97F4A7C15))
     least = (place >= REACH) & (after > REACH)
     for k in range(1, REACH + 1):
-        least[k:] &= g[k:] < g[:-k]
+        least[k:] &= g[k:] <= g[:-k]
         least[:-k] &= g[:-k] <= g[k:]
-    return np.flatnonzero(least | (after == 0))
+    at = np.flatnonzero(least)
+    opens = np.append(True, np.diff(at) > REACH)[: len(at)]
+    step = (at - at[opens][np.cumsum(opens) - 1]) // SPAN
+    cut = after == 0
+    cut[at[opens | (np.diff(step, prepend=-1) != 0)]] = True
+    return np.flatnonzero(cut)
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
