@@ -1,6 +1,6 @@
 import random
 
-from vellum.llm.passages import bands, repeated_passages
+from vellum.llm.passages import bands, extended, repeated_passages
 
 
 def words(rng, n):
@@ -88,3 +88,27 @@ def test_repeats_of_short_periods(spark):
         for i in range(6):
             rows.append((10 * k + i, " ".join(words(rng, 40 + i) + (phrase * 60)[:60] + words(rng, 40))))
     assert {r.doc_id for r in run(spark, rows)} == {i for i, _ in rows}
+
+
+def test_short_passages_with_an_edited_word(spark):
+    """One changed, lost or added word in the middle of 51 leaves a passage of Jaccard 0.75 or more."""
+    rng = random.Random(8)
+    rows, lost = [], []
+    for k in range(60):
+        one = words(rng, 51)
+        two = one[:25] + [words(rng, 1), [], words(rng, 1) + one[25:26]][k % 3] + one[26:]
+        rows += [(2 * k + i, " ".join(words(rng, 100) + x + words(rng, 100))) for i, x in enumerate((one, two))]
+    found = {r.doc_id for r in run(spark, rows)}
+    lost = [i for i, _ in rows if i not in found]
+    assert len(lost) <= 2
+
+
+def test_extended():
+    rng = random.Random(9)
+    p, far = ([rng.randrange(2**32) for _ in range(n)] for n in (60, 200))
+    one, two = far[:50] + p + far[50:100], far[100:150] + p[:30] + [7] + p[31:] + far[150:]
+    assert extended(one, two, 60, 60, 9, 20) == (50, 110, 50, 110)
+    assert extended(one, two, 60, 60, 9, 61) is None
+    # an edit every ten words is below the threshold as a whole, and each stretch is too short
+    worn = [x if i % 10 else i for i, x in enumerate(p)]
+    assert extended(one, far[100:150] + worn + far[150:], 61, 61, 9, 20) is None

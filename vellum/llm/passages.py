@@ -8,8 +8,11 @@ bands of how many rows reach the wanted recall at a similarity of 0.75, and a
 longer passage has as many more chances as it has pieces.  Pieces that collide
 are verified by exact Jaccard and clustered by connected components
 (``setjoin``); one occurrence of each cluster stays.  Neighbouring repeated
-pieces of a document make a passage; passages of fewer than ``min_words``
-repeated words (short stock lines, chance) are left alone.
+pieces of a document make a passage.  Where they have fewer than ``min_words``
+words, as edits and cut ends leave them, each is a seed: it is extended over
+edits against the first and the last occurrence of its cluster, and the whole
+passage is verified by the exact Jaccard of its five-word shingles.  Passages of
+fewer than ``min_words`` repeated words (short stock lines, chance) are left alone.
 
 Defined cases: null and blank texts have no pieces; a piece's occurrence that
 stays is the first by doc_id (nulls last), then place; what only one document
@@ -39,7 +42,12 @@ MIN_WORDS = 20
 THRESHOLD, RECALL = 0.75, 0.98
 #: Pieces that a passage has at least, each with its own bands.
 PIECES = 3
+#: Words to either side of a piece in which a short run is extended.
+ROUND = 64
+#: Equal words that take a passage up again after an edit, and words of both sides that one edit takes at most.
+RESUME, EDIT = 5, 8
 _U = np.uint64
+_STEPS = sorted(((i, j) for i in range(EDIT) for j in range(EDIT) if 0 < i + j <= EDIT), key=lambda x: (sum(x), abs(x[0] - x[1])))
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, chances: int = PIECES, background: float = 0.0, noise: float = 0.01) -> tuple[int, int]:
@@ -141,6 +149,79 @@ def piece_arrays(docs: DataFrame) -> DataFrame:
     return docs.select("text", "ids").mapInArrow(run, "id long, n long, sig array<long>, keys binary")
 
 
+def windows(docs: DataFrame) -> DataFrame:
+    """docs(row, text, places array<int>) -> row, first_word, at, words: the words round each place (low 32 bits of their hashes) and its offset there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places = batch.column(0).to_pylist(), batch.column(2)
+            for c in wordhash.chunks(batch.column(1)):
+                low, out = c.words.astype(np.uint32), []
+                for r in range(c.rows):
+                    begin, end = int(c.word_at[r]), int(c.word_at[r + 1])
+                    for p in places[c.first + r].as_py():
+                        lo = max(0, p - ROUND)
+                        out.append((rows[c.first + r], p, p - lo, low[begin + lo : min(end, begin + p + 2 * ROUND)].tobytes()))
+                cols = zip(*out, strict=True) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["row", "first_word", "at", "words"])
+
+    return docs.select("row", "text", "places").mapInArrow(run, "row long, first_word int, at int, words binary")
+
+
+def _grown(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
+    """From the starts of a and b on: stretches (place in a, place in b, words) of equal words, taken up again after edits."""
+    i = j = 0
+    out = []
+    while True:
+        n = 0
+        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+            n += 1
+        if n:
+            out.append((i, j, n))
+        i, j = i + n, j + n
+        for x, y in _STEPS:
+            if i + x + RESUME <= len(a) and a[i + x : i + x + RESUME] == b[j + y : j + y + RESUME]:
+                i, j = i + x, j + y
+                break
+        else:
+            return out
+
+
+def _alike(a: list[int], b: list[int]) -> bool:
+    k = wordhash.SHINGLE
+    x, y = ({tuple(z[i : i + k]) for i in range(len(z) - k + 1)} for z in (a, b))
+    both = len(x & y)
+    return both > 0 and both >= THRESHOLD * (len(x) + len(y) - both)
+
+
+def extended(a: list[int], b: list[int], at_a: int, at_b: int, n: int, min_words: int) -> tuple[int, int, int, int] | None:
+    """The passage round pieces of about n words at at_a and at_b: its first and past-last word in a and in b.
+
+    It has min_words words in both and five-word shingles of a Jaccard similarity of the
+    threshold, else None; edits at its ends that take it below are cut off, the end
+    with the shorter stretch of equal words first.
+    """
+    own, other = a[at_a : at_a + n], b[at_b : at_b + n]
+    if own != other:  # the longest stretch that the pieces share
+        other = b[at_b : at_b + 2 * n]
+        best = max(((k, i, j) for i in range(len(own)) for j in range(len(other)) for k in [next((k for k in range(min(len(own) - i, len(other) - j)) if own[i + k] != other[j + k]), min(len(own) - i, len(other) - j))]), default=(0, 0, 0))
+        if not best[0]:
+            return None
+        at_a, at_b = at_a + best[1], at_b + best[2]
+    right = [(at_a + i, at_b + j, k) for i, j, k in _grown(a[at_a:], b[at_b:])]
+    left = [(at_a - i - k, at_b - j - k, k) for i, j, k in _grown(a[:at_a][::-1], b[:at_b][::-1])]
+    runs = left[::-1] + right
+    while runs:
+        first, last = runs[0], runs[-1]
+        span = first[0], last[0] + last[2], first[1], last[1] + last[2]
+        if min(span[1] - span[0], span[3] - span[2]) < min_words:
+            return None
+        if _alike(a[span[0] : span[1]], b[span[2] : span[3]]):
+            return span
+        runs = runs[1:] if first[2] < last[2] else runs[:-1]
+    return None
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """documents(doc_id, text) -> doc_id, first_word, n_words, repeated_words, removed_words, cluster_id.
 
@@ -167,19 +248,26 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     clusters = kinds.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "kept", "past")
     several = clusters.groupBy("label").agg(F.min("kept").alias("kept"), F.max("past").alias("past")).where("kept.row < past")
-    repeated = materialize(clusters.select("id", "label").join(several, "label").select("id", F.col("kept.row").alias("kept_row"), F.col("kept.first_word").alias("kept_word")), "repeated")
+    repeated = materialize(clusters.select("id", "label").join(several, "label").select("id", "label", F.col("kept.row").alias("kept_row"), F.col("kept.first_word").alias("kept_word")), "repeated")
     spots = pieces.select("row", "first_word", "words", "id").join(sized(repeated), "id")
     w = Window.partitionBy("row").orderBy("first_word", "kept_row", "kept_word")
     # a gap of less than two pieces, as an edited word leaves, doesn't end a passage
     gap = F.col("first_word") - F.coalesce(F.lag(F.col("first_word") + F.col("words")).over(w), F.lit(-(10**6)))
     runs = spots.withColumn("fresh", (gap > 4 * REACH).cast("int")).withColumn("run", F.sum("fresh").over(w))
+    runs = materialize(runs.withColumn("total", F.sum("words").over(Window.partitionBy("row", "run"))).drop("id", "fresh", "run"), "runs")
     gone = (F.col("row") != F.col("kept_row")) | (F.col("first_word") != F.col("kept_word"))
-    out = runs.groupBy("row", "run").agg(
+    strong = runs.where(F.col("total") >= min_words).select("row", "first_word", (F.col("first_word") + F.col("words")).alias("past"), gone.alias("gone"), F.col("kept_row").alias("cluster"))
+    w = Window.partitionBy("row").orderBy("first_word", "past", F.desc("gone"), "cluster")
+    reach = F.max("past").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    parts = strong.union(_extensions(docs, runs, min_words)).withColumn("reach", F.coalesce(reach, F.lit(-(10**6))))
+    parts = parts.withColumn("fresh", (F.col("first_word") - F.col("reach") > 4 * REACH).cast("int")).withColumn("run", F.sum("fresh").over(w))
+    own = F.greatest(F.lit(0), F.col("past") - F.greatest("first_word", "reach"))
+    out = parts.groupBy("row", "run").agg(
         F.min("first_word").alias("first_word"),
-        F.max(F.col("first_word") + F.col("words")).alias("past"),
-        F.sum("words").alias("repeated_words"),
-        F.sum(F.when(gone, F.col("words")).otherwise(0)).alias("removed_words"),
-        F.min("kept_row").alias("cluster_id"),
+        F.max("past").alias("past"),
+        F.sum(own).alias("repeated_words"),
+        F.sum(F.when(F.col("gone"), own).otherwise(0)).alias("removed_words"),
+        F.min("cluster").alias("cluster_id"),
     )
     none = 2**63 - 1
     return out.where(F.col("repeated_words") >= min_words).select(
@@ -190,3 +278,35 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.col("removed_words").cast("long").alias("removed_words"),
         F.when(F.col("cluster_id") != none, F.col("cluster_id")).alias("cluster_id"),
     )
+
+
+def _extensions(docs: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
+    """row, first_word, past, gone, cluster: the passages round the pieces of runs of fewer than min_words words.
+
+    Each such piece is tried against the first and the last occurrence of its cluster.
+    """
+    weak = materialize(runs.where(F.col("total") < min_words), "weak")
+    last = runs.join(weak.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.max(F.struct("row", "first_word")).alias("last"))
+    partner = F.explode(F.array(F.struct(F.col("kept_row").alias("row"), F.col("kept_word").alias("first_word")), "last"))
+    pairs = weak.join(last, "label").select(F.struct("row", "first_word").alias("one"), "words", partner.alias("other")).where("one.row <> other.row")
+    pairs = pairs.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"), "words").groupBy("a", "b").agg(F.max("words").alias("words"))
+    pairs = materialize(pairs.select(*(F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("row", "first_word")), "words"), "tried")
+    places = pairs.select(F.col("row_a").alias("row"), F.col("first_word_a").alias("place")).union(pairs.select("row_b", "first_word_b"))
+    wanted = materialize(places.groupBy("row").agg(F.collect_set("place").alias("places")), "places")
+    around = materialize(windows(docs.withColumn("row", F.coalesce("doc_id", F.lit(2**63 - 1))).join(wanted, "row")), "windows")
+    a, b = (around.select(*(F.col(c).alias(f"{c}_{x}") for c in ("row", "first_word", "at")), F.col("words").alias(f"text_{x}")) for x in "ab")
+    both = pairs.join(a, ["row_a", "first_word_a"]).join(b, ["row_b", "first_word_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row_a, first_a, at_a, text_a, row_b, first_b, at_b, text_b, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                span = extended(np.frombuffer(text_a, np.uint32).tolist(), np.frombuffer(text_b, np.uint32).tolist(), at_a, at_b, n, min_words)
+                if span:
+                    out.append((row_a, first_a - at_a + span[0], first_a - at_a + span[1], False, row_a))
+                    out.append((row_b, first_b - at_b + span[2], first_b - at_b + span[3], True, row_a))
+            cols = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()), strict=True)], names=["row", "first_word", "past", "gone", "cluster"])
+
+    columns = [f"{c}_{x}" for x in "ab" for c in ("row", "first_word", "at", "text")]
+    return materialize(both.select(*columns, "words").mapInArrow(run, "row long, first_word int, past int, gone boolean, cluster long").distinct(), "extended")
