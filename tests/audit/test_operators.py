@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import gate, guard, lock, segment, style, texture
-from vellum.operators.lock import citations_of, protected_of
+from vellum.operators.lock import protected_of
 
 
 def one(spark, column, **values):
@@ -80,10 +80,12 @@ def test_stance(spark):
     [
         (r"\cite[p. 3]{a, b} \parencites{c}{d} \parencite{e}{f}", ["a", "b", "c", "d", "e"]),
         ("Smith et al. (2019) and (van der Meer, 2020; Lee & Kim, 2021b) [1, 3-5] [x]", ["Smith et al. (2019)", "(van der Meer, 2020; Lee & Kim, 2021b)", "[1, 3-5]"]),
+        (r"\cite[12]{a} \cite[see \citep{b}]{c} [12] \cite[Smith (2019)]{d} \citeX \cite {e}", ["a", "c", "b", "d", "e", "[12]"]),
+        ("", []),
     ],
 )
-def test_citations(text, want):
-    assert citations_of(text) == want
+def test_citations(spark, text, want):
+    assert one(spark, lock.citations(F.col("t")), t=text) == want
 
 
 @pytest.mark.parametrize(
@@ -93,12 +95,18 @@ def test_citations(text, want):
         ("````\n```\nx\n`````\nend `y`", ["````\n```\nx\n`````", "`y`"]),
         (r"\begin{align*}a $b$\end{align*} \[c\] \(d\)", [r"\begin{align*}a $b$\end{align*}", r"\[c\]", r"\(d\)"]),
         ("```\nnever closed `z`", ["`z`"]),
+        ("~~~~\n```\n~~~\n~~~~.\n$x$\n~~~\na\n~~~", ["~~~~\n```\n~~~\n~~~~", "$x$", "~~~\na\n~~~"]),
     ],
 )
 def test_protected(text, want):
     assert protected_of(text) == want
 
 
+def test_protected_leaves_plain_texts_in_the_jvm(spark):
+    df = spark.createDataFrame([(1, "plain"), (2, "a `b`"), (3, "")], "id int, t string")
+    assert [r.x for r in df.select("id", lock.protected_spans(F.col("t")).alias("x")).orderBy("id").collect()] == [[], ["`b`"], []]
+
+
 def pairs(spark, *rows):
     return spark.createDataFrame([(i, b, a) for i, (b, a) in enumerate(rows)], "doc_id long, before string, after string")
 

@@ -49,11 +49,15 @@ def occurrences(text: Column, part: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility composition: no built-in function does it."""
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
 
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility composition: no built-in function does it.  ASCII texts have it already and stay in the JVM."""
+    return F.coalesce(_nfkc(F.when(F.rlike(text, F.lit(r"[^\x00-\x7f]")), text)), text)
+
+
 def tokens(text: Column) -> Column:
     return find_all(text, TOKEN)
 
