@@ -73,3 +73,26 @@ def test_empty_table(spark):
 def test_other_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e", 5, "x", "k"), (2, "a b c d e", 6, "y", "k")], "doc_id long, text string, label int, id string, key string")
     assert sorted(tuple(r) for r in ngram_components(df).collect()) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_near_copies_without_ids(spark):
+    """A row without an id links like others: two documents that only it connects are one component."""
+    w = [f"n{i}" for i in range(60)]
+    rows = [(9, " ".join(w)), (None, " ".join(w[4:] + ["p0", "p1", "p2", "p3"])), (5, " ".join(w[8:] + [f"p{i}" for i in range(8)])), (None, "alone among all the rows here"), (None, None)]
+    out = run(spark, rows)
+    assert out == brute(rows)
+    assert [c for d, _, c in out if d in (5, 9)] == [5, 5]
+
+
+def test_crowds_that_share_a_key(spark):
+    """Two large groups and many single documents share frequent words, so tiles have members of several components."""
+    common = [f"s{i}" for i in range(14)]
+    rows = []
+    for g in range(2):
+        base = [f"g{g}_{i}" for i in range(40)]
+        for i in range(25):
+            own = list(base)
+            own[i] = f"e{g}_{i}"
+            rows.append((g * 100 + i, " ".join(common + own)))
+    rows += [(500 + i, " ".join(common + [f"u{i}_{j}" for j in range(6 + i % 4)])) for i in range(20)]
+    assert run(spark, rows) == brute(rows)

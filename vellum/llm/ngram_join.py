@@ -10,33 +10,33 @@ of 64-bit hashes.
 Defined cases: a null or blank text has an empty set and links with nothing;
 1 to 4 words are one shingle; rows with equal sets hang together, whatever
 their ids; repeated rows each give a row; a null doc_id gives a row with a null
-id, and its component's id is the smallest id that isn't null.  Other columns
-of the input play no part.
+id that joins like any other, and its component's id is the smallest id that
+isn't null (null if there is none).  Very long texts are hashed whole, in parts
+of bounded size.  Other columns of the input play no part.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import wordhash
 from vellum.llm.setjoin import bitmap, connect, wide_bitmap
-from vellum.llm.workspace import materialize, sized
+from vellum.llm.workspace import bounded_batches, materialize, sized
 
 #: Counters of the rarity sketch: 2 to this power, whatever the corpus.
 SKETCH_BITS = 22
-_BLOCKS, _SALTS = 64, 32
+#: Parts of a sketch that are added up apart, and sketches that one task adds up at most.
+_BLOCKS, _FAN = 64, 32
 _CLASS_SHIFT = np.uint64(60)
-#: Rows of one long that are broadcast at most.
-ROWS = 1_000_000
-#: Hashes counted at once.
-_FLUSH = 1 << 21
+#: What stands for a missing id where rows are looked up.
+_NO_ID = -(2**63)
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -51,32 +51,28 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, held, n = np.zeros(size, np.uint32), [], 0
+        total = np.zeros(size, np.uint32)
         for batch in batches:
             for c in wordhash.chunks(batch.column(0)):
                 h, _, _ = wordhash.shingles(c)
-                held.append((h & np.uint64(size - 1)).astype(np.int32))
-                n += len(h)
-                if n >= _FLUSH:
-                    total += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
-                    held, n = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
-        salt = TaskContext.get().partitionId() % _SALTS
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(_BLOCKS, dtype=np.int32)), pa.array(np.full(_BLOCKS, salt, np.int32)), pa.array([_packed(b) for b in np.split(total, _BLOCKS)], pa.binary())],
-            names=["block", "salt", "counts"],
-        )
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(_unpacked(b).astype(np.uint64) for b in pdf["counts"])
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "salt": pdf["salt"].iloc[:1], "counts": [_packed(total)]})
-
-    schema = "block int, salt int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema).groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
+                np.add.at(total, (h & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
+        part = np.full(_BLOCKS, TaskContext.get().partitionId(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BLOCKS, dtype=np.int32)), pa.array(part), pa.array([_packed(b) for b in np.split(total, _BLOCKS)], pa.binary())], names=["block", "part", "counts"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(size // _BLOCKS, np.uint64)
+        for raw in table.column("counts"):
+            total += _unpacked(raw.as_py())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([_packed(total)], pa.binary())})
+
+    schema = "block int, part long, counts binary"
+    texts = docs.select("text")
+    parts, left = texts.mapInArrow(count, schema), texts.rdd.getNumPartitions()
+    for _ in range(max(1, math.ceil(math.log(max(left, 2), _FAN)))):  # a tree: no task adds up more than _FAN parts of 512 KB
+        parts = parts.groupBy("block", F.floor(F.col("part") / _FAN).alias("fan")).applyInArrow(add, schema)
     total = np.zeros((_BLOCKS, size // _BLOCKS))
     for row in parts.collect():  # _BLOCKS rows
-        total[row.block] = _unpacked(row.counts)
+        total[row.block] += _unpacked(row.counts)
     total = total.reshape(-1)
     mean = total.mean()
     excess = (total - mean) / (6 * np.sqrt(mean) + 8)
@@ -114,7 +110,7 @@ def set_id(keys: np.ndarray) -> int:
 
 
 def shingle_sets(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """doc_id, n, cid (of the set; null for the empty one), prefix, sig, wide."""
+    """docs(doc_id, text, spot) -> doc_id, spot, n, cid (of the set; null for the empty one), prefix, sig, wide."""
     kept = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +122,9 @@ def shingle_sets(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 prefix.append(keys[: prefix_length(len(keys))].view(np.int64))
                 sig.append(bitmap(keys))
                 wide.append(wide_bitmap(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), _lists(prefix), _lists(sig), pa.array(wide, pa.binary())], names=["doc_id", "n", "cid", "prefix", "sig", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), _lists(prefix), _lists(sig), pa.array(wide, pa.binary())], names=["doc_id", "spot", "n", "cid", "prefix", "sig", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long, prefix array<long>, sig array<long>, wide binary")
+    return docs.select("doc_id", "text", "spot").mapInArrow(run, "doc_id long, spot struct<d: bigint, h: bigint>, n long, cid long, prefix array<long>, sig array<long>, wide binary")
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -153,19 +149,22 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
     component_id: the smallest doc_id that links reach.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("spot", F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("h")))
     classes = rarity(docs)
     sets = materialize(shingle_sets(docs, classes).withColumn("row", F.monotonically_increasing_id()), "sets")
     # one row stands for each distinct set; its place in the table is the set's id in the join
-    chosen = materialize(sets.where("doc_id is not null and cid is not null").groupBy("cid").agg(F.min("row").alias("row")), "chosen")
-    known = sets.where("doc_id is not null and cid is not null")
+    known = sets.where("cid is not null")
+    chosen = materialize(known.groupBy("cid").agg(F.min("row").alias("row")), "chosen")
     again = known.select("row", "cid").join(chosen.withColumnRenamed("row", "kept"), "cid").where("row <> kept").select("row")
-    first = known.join(sized(materialize(again, "again"), ROWS), "row", "left_anti")
+    first = known.join(sized(materialize(again, "again")), "row", "left_anti")
     nodes = first.select(F.col("row").alias("id"), F.col("cid").alias("ref"), "n", "sig", "wide")
 
     def arrays_of(refs: DataFrame) -> DataFrame:
-        ids = first.select("doc_id", F.col("cid").alias("ref")).join(refs, "ref", "left_semi").select("doc_id").distinct()
-        return set_arrays(docs.join(sized(materialize(ids, "ids"), ROWS), "doc_id", "left_semi"), classes)
+        spots = first.select("spot", F.col("cid").alias("ref")).join(refs, "ref", "left_semi").select("spot.*").distinct()
+        held = docs.select("text", "spot.*").join(sized(materialize(spots, "spots")), ["d", "h"], "left_semi")
+        return set_arrays(held, classes).dropDuplicates(["ref"])  # rows that are alike in id and text give one set each
 
     labels = connect(first.select(F.explode("prefix").alias("key"), F.col("row").alias("id")), nodes, arrays_of)
     by_set = chosen.join(labels.select(F.col("id").alias("row"), "label"), "row", "left").select("cid", F.coalesce("label", "row").alias("label"))

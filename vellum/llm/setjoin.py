@@ -158,11 +158,17 @@ def _unsettled(multi: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one key and in the same or neighbouring size band that the bitmaps can't rule out."""
+    """Pairs (a, b) of different components in one key and in the same or neighbouring size band that the bitmaps can't rule out.
+
+    In each key the members of its largest component meet the others only, never each other.
+    """
     ids = materialize(rows.select("id").distinct(), "ids")
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("members"))
+    crowd = sizes.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("crowd"))
+    rows = rows.join(crowd, "key").select("key", "id", "label", (F.col("label") == F.col("crowd")).alias("crowd"))
     rows = rows.join(nodes.select("id", "n", "sig").join(sized(ids), "id", "left_semi"), "id")
-    rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9))
-    lower, upper = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "n", "sig")), (F.explode(F.array("band", F.col("band") + 1)) if x == "a" else F.col("band")).alias("tile")) for x in "ab")
-    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
-    pairs = lower.join(upper, ["key", "tile"]).where((F.col("label_a") != F.col("label_b")) & ordered & _may_link("a", "b"))
+    rows = materialize(rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9)), "tiles")
+    of = lambda x, part: part.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "crowd", "n", "sig")), (F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))) if x == "a" else F.col("band")).alias("tile"))
+    once = F.col("crowd_b") | (F.col("id_a") < F.col("id_b"))
+    pairs = of("a", rows.where("not crowd")).join(of("b", rows), ["key", "tile"]).where((F.col("label_a") != F.col("label_b")) & once & _may_link("a", "b"))
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()

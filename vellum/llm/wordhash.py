@@ -5,8 +5,12 @@ lower-cased.  Every word gets a 64-bit hash (a polynomial over a random byte
 table, finalised), every window of ``k`` words a 64-bit hash of its words.
 Equality of words and shingles is equality of these hashes.
 
-All functions work on one bounded chunk of text (``CHUNK_BYTES``; one longer
-document makes a chunk of its own), so memory doesn't grow with the batch.
+All functions work on one bounded chunk of text (``CHUNK_BYTES``), so memory
+doesn't grow with the batch; a longer document makes a chunk of its own, which
+takes some 40 bytes a word beside its text.
+
+Arrow's memory comes from the system's allocator, which gives it back: worker
+processes live on from stage to stage.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+pa.set_memory_pool(pa.system_memory_pool())
+
 CHUNK_BYTES = 1 << 20
 SHINGLE = 5
 
@@ -37,12 +43,13 @@ _BYTES = _byte_table()
 _STEP = np.random.default_rng(7).integers(1, 2**64, 128, dtype=_U) | _U(1)
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the generator and of its inverse for the bytes of a chunk: 16 MB."""
     inverse = pow(_GENERATOR, -1, 2**64)
     out = []
     for g in (_GENERATOR, inverse):
-        p = np.full(n, _U(g), dtype=_U)
+        p = np.full(CHUNK_BYTES, _U(g), dtype=_U)
         p[0] = _U(1)
         np.multiply.accumulate(p, out=p)
         out.append(p)
@@ -87,14 +94,34 @@ def _segment(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(opens), np.flatnonzero(closes) + 1
 
 
+def _polynomial(data: np.ndarray) -> int:
+    """The polynomial of one word of any length, a part at a time."""
+    power, total, shift = _powers()[0], 0, 1
+    for at in range(0, len(data), CHUNK_BYTES):
+        part = data[at : at + CHUNK_BYTES]
+        total += int((_BYTES[part] * power[: len(part)]).sum(dtype=_U)) * shift
+        shift = shift * pow(_GENERATOR, len(part), 2**64) % 2**64
+    return total % 2**64
+
+
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.empty(0, _U)
-    size = CHUNK_BYTES if len(data) <= CHUNK_BYTES else 1 << int(len(data) - 1).bit_length()
-    power, inverse = _powers(size)
-    total = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(_BYTES[data] * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+    """Hashes of the words at these places, which are in order; some CHUNK_BYTES at a time."""
+    out = np.empty(len(starts), _U)
+    power, inverse = _powers()
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        last = int(np.searchsorted(ends, base + CHUNK_BYTES, side="right"))
+        if last <= i:  # one word fills a chunk
+            out[i] = _polynomial(data[base : ends[i]])
+            i += 1
+            continue
+        part = data[base : ends[last - 1]]
+        total = np.zeros(len(part) + 1, dtype=_U)
+        np.cumsum(_BYTES[part] * power[: len(part)], out=total[1:])
+        out[i:last] = (total[ends[i:last] - base] - total[starts[i:last] - base]) * inverse[starts[i:last] - base]
+        i = last
+    return mix(out)
 
 
 def chunk_of(first: int, data: np.ndarray, at: np.ndarray) -> Chunk:
@@ -125,24 +152,6 @@ def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[Chunk]:
         row = last
 
 
-def line_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray]]:
-    """As chunks, but each segment is a line of a row: with the row of each line and its number there."""
-    at, raw = string_buffers(column)
-    row, n = 0, len(at) - 1
-    while row < n:
-        last = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK_BYTES, side="right")) - 1)
-        data, own = raw[at[row] : at[last]], at[row : last + 1] - at[row]
-        cuts = np.flatnonzero(data == 10) + 1
-        bounds = np.sort(np.concatenate([own[:-1], cuts, own[-1:]]), kind="stable")
-        # a row that starts right after another's final line feed has that position twice: one is the other's empty last line
-        counts = np.add.reduceat(np.concatenate([data == 10, [False]]), own[:-1]) if len(data) else np.zeros(last - row, np.int64)
-        counts = np.where(own[1:] > own[:-1], counts, 0) + 1
-        line_row = np.repeat(np.arange(last - row), counts)
-        number = np.arange(len(line_row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        yield chunk_of(row, data, bounds), line_row + row, number
-        row = last
-
-
 def shingles(c: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all windows of k words inside a segment; segments of fewer words have one, of all their words.
 

@@ -17,6 +17,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Rows and bytes of an Arrow batch: texts have no bound of their own, so the default of 10,000 rows may be any size.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, which bounds what a task holds in the JVM and in Python."""
+    prefix = "spark.sql.execution.arrow.max"
+    rows = int(spark.conf.get(f"{prefix}RecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(f"{prefix}RecordsPerBatch", BATCH_ROWS)
+        spark.conf.set(f"{prefix}BytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for this application's tables, under spark.checkpoint.dir."""
     sc = spark.sparkContext
