@@ -2,9 +2,10 @@
 
 Method: every ``INTACT`` words in a row are a paragraph, wherever line breaks
 fall, because copies break lines differently and begin inside them.  A
-paragraph's signature is the least hash of its five-word shingles in each band;
-paragraphs that overlap mostly have the same least shingle, so two places in
-fifteen words carry all signatures.  ``bands`` tunes the signature: a passage of
+paragraph's signature is the five-word shingle of the least hash in each band,
+with the ``MORE`` words after it, which keep stock phrases apart; paragraphs that
+overlap mostly have the same, so two places in twelve words carry all signatures.
+``bands`` tunes the signature: a passage of
 ``MIN_WORDS`` words or more at a Jaccard similarity of 0.75 has ``INTACT`` equal
 words in a row at least (``shortest_intact``), so a paragraph without an edit,
 and one band of one row finds that for certain; more bands or rows would find
@@ -21,8 +22,9 @@ connected components; in each the earliest occurrence stays.
 Defined cases: null and blank texts, and texts of fewer than ``MIN_WORDS``
 words, have no passages; the occurrence that stays is the first by doc_id
 (rows without one, and rows whose doc_id stands over several texts, after all
-others), then place; inside one document a repeat counts if what is repeated,
-without overlap, has ``MIN_WITHIN`` words; rows alike in id and text are one
+others), then place; inside one document a repeat counts if it has
+``MIN_WITHIN`` words and stands that far apart at least, so refrains and phrases
+said over and over don't; rows alike in id and text are one
 document; an empty table gives no rows; very long texts are read whole; other
 columns play no part.
 """
@@ -42,14 +44,18 @@ from vellum.llm.workspace import bounded_batches, discard, materialize, sized
 
 MIN_WORDS, MIN_WITHIN = 20, 50
 THRESHOLD, RECALL = 0.75, 0.98
+#: Words after a shingle that belong to its signature.
+MORE = 3
 #: Words to either side of a run in which it is extended: equal ones, and over edits.
-EXACT, ROUND = 24, 44
+EXACT, ROUND = 24, 36
 #: Equal words that take a passage up again after an edit, and words of both sides that one edit takes at most.
 RESUME, EDIT = 5, 8
 #: Words between repeated ones that don't end a passage.
 GAP = 16
 #: Row numbers from here on are hashes: rows that doc_id doesn't tell apart.
 _HASHED = 1 << 62
+#: Ids that are broadcast at most to choose documents by: one long each.
+IDS = 1_000_000
 _U = np.uint64
 _STEPS = sorted(((i, j) for i in range(EDIT) for j in range(EDIT) if 0 < i + j <= EDIT), key=lambda x: (sum(x), abs(x[0] - x[1])))
 
@@ -70,9 +76,10 @@ def shortest_intact(min_words: int, threshold: float) -> int:
     return least
 
 
-#: Words in a row that every passage has: those of a paragraph, and its shingles.
+#: Words in a row that every passage has: those of a paragraph; the words of a signature; the signatures to choose from in a paragraph.
 INTACT = shortest_intact(MIN_WORDS, THRESHOLD)
-_SPAN = INTACT - wordhash.SHINGLE + 1
+_KEY = wordhash.SHINGLE + MORE
+_SPAN = INTACT - _KEY + 1
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, chances: int = 1, background: float = 0.0, noise: float = 0.01) -> tuple[int, int]:
@@ -129,13 +136,14 @@ def seed_table(docs: DataFrame, n_bands: int) -> DataFrame:
             for c in wordhash.chunks(batch.column(1)):
                 h, word, _ = wordhash.shingles(c)
                 row = np.searchsorted(c.word_at, word, side="right") - 1
-                enough = np.diff(c.word_at)[row] >= MIN_WORDS
-                h, word, row = h[enough], word[enough], row[enough]
+                whole = (word + _KEY <= c.word_at[row + 1]) & (np.diff(c.word_at)[row] >= MIN_WORDS)
+                h, word, row = h[whole], word[whole], row[whole]
                 for seed in seeds:
                     own = wordhash.mix(h * seed) | _U(1)
                     at = _least(own, row)
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(own[at].view(np.int64)), pa.array(rows[c.first + row[at]]), pa.array(_linked(c, word[at], row[at]))], names=["key", "row", "at"])
+                        key = wordhash.mix(own[at] + sum(c.words[word[at] + wordhash.SHINGLE + i] * wordhash._STEP[100 + i] for i in range(MORE)))
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rows[c.first + row[at]]), pa.array(_linked(c, word[at], row[at]))], names=["key", "row", "at"])
 
     return docs.select("row", "text").mapInArrow(run, "key long, row long, at long")
 
@@ -259,7 +267,25 @@ def _first_of(keyed: DataFrame, *place: str) -> DataFrame:
 def _windows_of(docs: DataFrame, ends: DataFrame, name: str) -> DataFrame:
     """windows for the distinct (row, place, kind) of ends: at most three for each word of a document."""
     wanted = materialize(ends.select("row", F.struct("place", "kind").alias("w")).groupBy("row").agg(F.collect_set("w").alias("wanted")), name)
-    return materialize(windows(docs.join(sized(wanted), "row")), f"{name}_words")
+    held = docs.join(sized(wanted.select("row"), IDS), "row", "left_semi")
+    return materialize(windows(held.join(wanted, "row")), f"{name}_words")
+
+
+def _intact(at_a: pa.Array, at_b: pa.Array, words_a: pa.Array, words_b: pa.Array) -> list[bool]:
+    """Whether INTACT words round two places are equal, as every passage has them."""
+    reach = np.arange(-INTACT, INTACT + 1)
+    sides = []
+    for at, words in ((at_a, words_a), (at_b, words_b)):
+        size = np.array([len(x.as_buffer()) // 4 for x in words], np.int64)
+        flat = np.concatenate([*(np.frombuffer(x.as_buffer(), np.uint32) for x in words), np.zeros(1, np.uint32)])
+        place = at.to_numpy()[:, None] + reach
+        inside = (place >= 0) & (place < size[:, None])
+        sides.append((flat[np.where(inside, (np.cumsum(size) - size)[:, None] + place, 0)], inside))
+    same = (sides[0][0] == sides[1][0]) & sides[0][1] & sides[1][1]
+    edge = np.zeros((len(same), 1), bool)
+    left = np.hstack([same[:, :INTACT][:, ::-1], edge]).argmin(axis=1)
+    right = np.hstack([same[:, INTACT:], edge]).argmin(axis=1)
+    return (left + right >= INTACT).tolist()
 
 
 def _compared(tried: DataFrame, around: DataFrame, min_words: int) -> DataFrame:
@@ -271,11 +297,15 @@ def _compared(tried: DataFrame, around: DataFrame, min_words: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
         for batch in batches:
             out = []
-            for row, p, other, q, kind, at_a, at_b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            worth = _intact(batch.column(5), batch.column(6), batch.column(7), batch.column(8))
+            for worthy, row, p, other, q, kind, at_a, at_b, x, y in zip(worth, *(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == "w" and not worthy:
+                    out.append((row, None, None, other, None, None, True, p, q))
+                    continue
                 a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 if kind == "w":
                     a, b = a.tolist(), b.tolist()
-                    s = extended(a, b, at_a, at_b, wordhash.SHINGLE, min_words) or changed_at_ends(a, b, at_a, at_b, min_words)
+                    s = extended(a, b, at_a, at_b, _KEY, min_words) or changed_at_ends(a, b, at_a, at_b, min_words)
                     whole = (p - at_a + s[0], p - at_a + s[1], q - at_b + s[2], q - at_b + s[3]) if s else (None,) * 4
                     out.append((row, *whole[:2], other, *whole[2:], True, p, q))
                     continue
@@ -292,7 +322,7 @@ def _compared(tried: DataFrame, around: DataFrame, min_words: int) -> DataFrame:
 
 
 def _contexts(around: DataFrame) -> DataFrame:
-    """key, row, place: hashes of all INTACT words in a row that hold the shingle at the place."""
+    """key, row, place: hashes of all INTACT words in a row that hold the signature at the place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = wordhash._STEP[:INTACT]
@@ -300,7 +330,7 @@ def _contexts(around: DataFrame) -> DataFrame:
             keys, rows, places = [], [], []
             for row, place, offset, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = np.frombuffer(raw, np.uint32).astype(_U)
-                lo, hi = max(0, offset + wordhash.SHINGLE - INTACT), min(len(words), offset + INTACT)
+                lo, hi = max(0, offset + _KEY - INTACT), min(len(words), offset + INTACT)
                 if hi - lo >= INTACT:
                     views = np.lib.stride_tricks.sliding_window_view(words[lo:hi], INTACT)
                     keys.append(wordhash.mix((wordhash.mix(views) * step).sum(axis=1, dtype=_U)).view(np.int64))
@@ -311,18 +341,20 @@ def _contexts(around: DataFrame) -> DataFrame:
     return around.select("row", "place", "offset", "words").mapInArrow(run, "key long, row long, place long")
 
 
-def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def matches(docs: DataFrame, min_words: int = MIN_WORDS, min_within: int = MIN_WITHIN) -> tuple[DataFrame, DataFrame]:
     """docs(row, text) -> two tables (row, first, past, other, other_first, other_past): passages that stand at an earlier place too, and equal words at their ends."""
     seeds = materialize(seed_table(docs, bands(threshold=1.0)[0]), "seeds")
     place, low = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(2**32 - 1))
     firsts = materialize(_first_of(seeds, "row", "at"), "firsts")
     found = seeds.join(sized(firsts), "key").where((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
     other_place, other_low = F.shiftright(F.col("first.at"), 32), F.col("first.at").bitwiseAND(F.lit(2**32 - 1))
-    hits = found.select("row", place.alias("place"), low.alias("low"), F.col("first.row").alias("other"), (place - other_place).alias("shift"), (low == other_low).alias("linked"))
+    hits = found.select("key", "row", place.alias("place"), low.alias("low"), F.col("first.row").alias("other"), (place - other_place).alias("shift"), (low == other_low).alias("linked"))
+    inside = hits.where("row = other").withColumn("nearest", F.min("shift").over(Window.partitionBy("row", "key"))).where(F.col("nearest") >= min_within)
+    hits = hits.where("row <> other").union(inside.drop("nearest")).drop("key")
     w = Window.partitionBy("row", "other", "shift").orderBy("place")
     past = F.when(F.lag("linked").over(w) & (F.lag("low").over(w) > 0), F.lag("place").over(w) + F.shiftright(F.lag("low").over(w), 24))
     hits = hits.withColumn("fresh", F.when(past == F.col("place"), 0).otherwise(1)).withColumn("run", F.sum("fresh").over(w))
-    runs = hits.groupBy("row", "other", "shift", "run").agg(F.min("place").alias("first"), (F.max("place") + wordhash.SHINGLE).alias("past")).drop("run")
+    runs = hits.groupBy("row", "other", "shift", "run").agg(F.min("place").alias("first"), (F.max("place") + _KEY).alias("past")).drop("run")
     runs = materialize(runs.withColumn("strong", F.col("past") - F.col("first") >= min_words), "runs")
     discard(seeds)
 
@@ -350,8 +382,8 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
 def _inside(passages: DataFrame, ends: DataFrame, min_within: int) -> tuple[DataFrame, DataFrame]:
     """Of passages that stand twice in one document, and of the equal words at their ends, those with min_within words that don't overlap."""
     shift = F.col("first") - F.col("other_first")
-    passages = passages.withColumn("shift", shift).where(F.col("shift") >= min_within)
-    ends = materialize(ends.withColumn("shift", shift).where(F.col("shift") >= min_within), "ends")
+    passages = passages.withColumn("shift", shift).where(F.col("shift") >= min_within)  # as second joins may not be
+    ends = materialize(ends.withColumn("shift", shift), "ends")
     before = ends.select("row", "shift", F.col("past").alias("first"), (F.col("past") - F.col("first")).alias("before"))
     after = ends.select("row", "shift", F.col("first").alias("past"), (F.col("past") - F.col("first")).alias("after"))
     sized_up = passages.join(before, ["row", "shift", "first"], "left").join(after, ["row", "shift", "past"], "left")
@@ -389,7 +421,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_within: i
     bounded_batches(docs.sparkSession)
     docs, names = _rows(docs)
     docs = docs.dropDuplicates(["row"]) if _repeats(docs) else docs
-    passages, ends = matches(docs, min_words)
+    passages, ends = matches(docs, min_words, min_within)
     across = F.col("row") != F.col("other")
     inside, inside_ends = _inside(passages.where(~across), ends.where(~across), min_within)
     passages = materialize(passages.where(across).union(inside).distinct(), "passages")
@@ -408,7 +440,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_within: i
     labels = components(edges)
     out = found.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = out.groupBy("label").agg(F.min("row").alias("cluster"))
-    out = out.join(least, "label")
+    out = out.join(sized(materialize(least, "least")), "label")
     for column, to in (("row", "doc_id"), ("cluster", "cluster_id")):
         known = names.select(F.col("row").alias(column), F.col("doc_id").alias("real"))
         out = out.join(sized(materialize(known, "names")), column, "left").withColumn(to, F.when(F.col(column) < _HASHED, F.col(column)).otherwise(F.col("real"))).drop("real")
