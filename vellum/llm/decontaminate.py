@@ -1,19 +1,25 @@
 """Benchmark decontamination: passages of test items inside training documents, copied, edited or paraphrased.
 
-Method: every item's word n-grams are seeds; one pass counts how often each
-seed stands in the corpus; an item keeps its rarest seeds.  A second pass joins
-document positions to items by seed hash, gathers hits on nearby diagonals into
-windows, and scores each window against its item with Smith-Waterman over
-words.  A document is contaminated by an item when the best local alignment
-reaches ``min_share`` of the score of a full copy.
+Method: every item's word trigrams are seeds, plain and with a gap after the
+first or the second word, so that a copy of which every third word is changed
+still has some.  One pass counts how often each seed stands in the corpus: those
+that no document has go, and of the others an item keeps all but those far more
+frequent than its middle one.  A second pass joins document positions to items
+by seed hash, gathers hits on nearby diagonals into windows, and scores each
+window that has two against its item with Smith-Waterman over words.  A
+document is contaminated by an item when the best local alignment reaches
+``min_share`` of the score of a full copy.
 
 Items are handled in blocks of bounded size (``BLOCK_ITEMS``), which is all
-that is broadcast; a longer benchmark takes more passes.
+that is broadcast; a longer benchmark takes more passes.  Hits are expanded to
+items for ``MOST_HITS`` at a time, so frequent seeds of long documents are
+bounded too; a longer item or document takes memory in proportion to itself.
 
 Defined cases: null or blank documents and items match nothing; items of one
 or two words are one seed and need that seed; repeated items and documents each
-give rows; a null doc_id or item_id is carried as null; empty tables give no
-rows; other columns play no part.
+give rows; of alignments with one score the first in the document counts; a null
+doc_id or item_id is carried as null; empty tables give no rows; other columns
+play no part.
 """
 
 from __future__ import annotations
@@ -27,12 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import wordhash
-from vellum.llm.workspace import materialize
+from vellum.llm.workspace import bounded_batches, materialize
 
-#: Words of a seed.
+#: Words of a seed, and its words' places where it has a gap.
 SEED = 3
-#: An item keeps this share of its seeds, the rarest ones, and this many at least.
-KEEP_SHARE, KEEP_LEAST = 0.75, 12
+GAPPED = ((0, 1, 3), (0, 2, 3))
+#: A seed is too frequent beyond this many times the count of its item's middle seed, and beyond this count.
+TIMES, OFTEN = 8, 64
+#: Seed hits that are expanded to items at once.
+MOST_HITS = 1 << 21
 #: Items of which seeds are broadcast at once.
 BLOCK_ITEMS = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -74,12 +83,27 @@ def item_words(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
+def seed_hashes(c: wordhash.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all seeds of a chunk, and the word at which each begins."""
+    h, word, _ = wordhash.shingles(c, SEED)
+    hashes, words = [h], [word]
+    n = len(c.words) - 3
+    if n > 0:
+        row = np.repeat(np.arange(c.rows), np.diff(c.word_at))
+        inside = np.flatnonzero(row[:n] == row[3:])
+        for shape, places in enumerate(GAPPED, 1):
+            own = sum((c.words[inside + p] * wordhash._STEP[64 + 8 * shape + i] for i, p in enumerate(places)), np.zeros(len(inside), _U))
+            hashes.append(wordhash.mix(own))
+            words.append(inside)
+    return np.concatenate(hashes), np.concatenate(words)
+
+
 def item_seeds(texts: list[str | None]) -> Seeds:
     hashes, item, at = [], [], []
     first = 0
     for c in wordhash.chunks(pa.array(texts, pa.string())):
-        h, word, offsets = wordhash.shingles(c, SEED)
-        own = np.repeat(np.arange(c.rows), np.diff(offsets))
+        h, word = seed_hashes(c)
+        own = np.searchsorted(c.word_at, word, side="right") - 1
         hashes.append(h)
         item.append(own + first)
         at.append(word - c.word_at[own])
@@ -90,12 +114,13 @@ def item_seeds(texts: list[str | None]) -> Seeds:
 
 
 def rarest(seeds: Seeds, counts: dict[int, int]) -> Seeds:
-    """Each item's rarest seeds, by their count in the corpus."""
+    """The seeds that the corpus has, but for those of each item that are far more frequent there than its middle one."""
     n = np.array([counts.get(int(h.view(np.int64)), 0) for h in seeds.hashes], np.int64)
-    order = np.lexsort((seeds.at, n, seeds.item))
-    size = np.bincount(seeds.item)[seeds.item[order]] if len(order) else order
-    starts = np.searchsorted(seeds.item[order], seeds.item[order])
-    keep = order[np.arange(len(order)) - starts < np.maximum(np.ceil(KEEP_SHARE * size), KEEP_LEAST)]
+    order = np.lexsort((n, seeds.item))
+    order = order[n[order] > 0]
+    item, n = seeds.item[order], n[order]
+    first, size = np.searchsorted(item, item), np.bincount(item)[item] if len(item) else item
+    keep = order[n <= np.maximum(TIMES * n[first + size // 2], OFTEN)] if len(item) else order
     return _seeds(seeds.hashes[keep], seeds.item[keep], seeds.at[keep])
 
 
@@ -135,25 +160,47 @@ def seed_counts(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
         total = np.zeros(len(known), np.int64)
         for batch in batches:
             for c in wordhash.chunks(batch.column(0)):
-                h, _, _ = wordhash.shingles(c, SEED)
+                h, _ = seed_hashes(c)
                 total += np.bincount(np.searchsorted(known, h[s.hits(h)]), minlength=len(known))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(known[seen].view(np.int64)), pa.array(total[seen])], names=["seed", "n"])
 
     rows = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r.seed: r.n for r in rows.collect()}  # at most one for each seed of a block
+    found = {r.seed: r.n for r in rows.collect()}  # at most one for each seed of a block
+    shared.destroy()
+    return found
 
 
 def _matches(c: wordhash.Chunk, seeds: Seeds, items: list[np.ndarray], min_share: float) -> Iterator[tuple[int, int, float, int, int, int]]:
     """row, item, share, first word, words, seed hits: the best alignment of each row with each item that it shares seeds with."""
-    h, word, _ = wordhash.shingles(c, SEED)
+    h, word = seed_hashes(c)
     hit = seeds.hits(h)
     if not len(hit):
         return
     low, high = np.searchsorted(seeds.hashes, h[hit], side="left"), np.searchsorted(seeds.hashes, h[hit], side="right")
-    n = high - low
-    which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(word[hit], n)
+    parts = -(-int((high - low).sum()) // MOST_HITS)
+    for part in range(parts):  # some items at a time, each with all its hits
+        which, at = _expanded(low, high, word[hit], seeds.item % parts == part if parts > 1 else None)
+        yield from _aligned(c, seeds, items, min_share, which, at)
+
+
+def _expanded(low: np.ndarray, high: np.ndarray, at: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds low..high of each hit, one by one, with the hit's word; only those wanted."""
+    ends = np.cumsum(high - low)
+    out, first = [], 0
+    while first < len(low):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + MOST_HITS, side="right")))
+        n = high[first:last] - low[first:last]
+        which = np.repeat(low[first:last], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own = np.repeat(at[first:last], n)
+        out.append((which, own) if wanted is None else (which[wanted[which]], own[wanted[which]]))
+        first = last
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def _aligned(c: wordhash.Chunk, seeds: Seeds, items: list[np.ndarray], min_share: float, which: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, float, int, int, int]]:
+    if not len(which):
+        return
     row = np.searchsorted(c.word_at, at, side="right") - 1
     item, diagonal = seeds.item[which], at - seeds.at[which]
     order = np.lexsort((diagonal, item, row))
@@ -167,7 +214,7 @@ def _matches(c: wordhash.Chunk, seeds: Seeds, items: list[np.ndarray], min_share
     for i, j in zip(bounds[:-1], bounds[1:], strict=True):
         r, k = int(row[i]), int(item[i])
         length = int(size[k])
-        if j - i < 2 and length > SEED:  # a lone trigram of a longer item is chance
+        if j - i < 2 and length > SEED:  # a lone seed of a longer item is chance
             continue
         first = max(int(c.word_at[r]), int(diagonal[i]) - int(slack[i]))
         last = min(int(c.word_at[r + 1]), int(diagonal[j - 1]) + length + int(slack[i]))
@@ -198,6 +245,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
     min_share of the score of a full copy; words are counted from 0.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = materialize(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).withColumn("place", F.monotonically_increasing_id()), "items")
     out: DataFrame | None = None
@@ -218,7 +266,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "share", "first_word", "n_words", "seed_hits"])
 
-        part = docs.mapInArrow(run, "doc_id long, item_id long, share double, first_word long, n_words long, seed_hits long")
+        part = materialize(docs.mapInArrow(run, "doc_id long, item_id long, share double, first_word long, n_words long, seed_hits long"), "contaminated")
+        shared.destroy()
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, share double, first_word long, n_words long, seed_hits long")
