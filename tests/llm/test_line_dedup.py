@@ -51,3 +51,12 @@ def test_repeated_rows_nulls_and_empty(spark):
     text = "one two three four five six"
     assert run(spark, [(None, text), (5, text), (5, text)]) == sorted([(None, "", [0]), (5, text, []), (5, text, [])], key=str)
     assert run(spark, []) == []
+
+
+def test_clashing_columns(spark):
+    """Columns named as those used inside, and as the result's own, don't get in the way."""
+    names = ("__d", "__h", "__gone", "d", "h", "gone", "line", "tokens", "row", "removed_lines", "a b.c")
+    df = spark.createDataFrame([(1, "one two\none two", *range(11)), (2, "one two", *range(11))], ", ".join(["doc_id long", "text string", *(f"`{n}` int" for n in names)]))
+    out = dedup_lines(df)
+    assert out.columns == ["doc_id", "text", *(n for n in names if n != "removed_lines"), "removed_lines"]
+    assert sorted((r.doc_id, r.text, r.removed_lines, r["__gone"], r["a b.c"]) for r in out.collect()) == [(1, "one two", [1], 2, 10), (2, "", [0], 2, 10)]

@@ -2,7 +2,8 @@
 
 A line's tokens are its five-word shingles (fewer words: the line itself),
 lower-cased; words are parted by blanks.  Lines with equal tokens are one
-class.  Tokens are ordered rarest first by a hashed count; classes that share a
+class.  Tokens are ordered rarest first, by the logarithm of a hashed count over
+all lines, then by hash; classes that share a
 token of their prefixes are compared when length, positional and bit-count
 filters leave room for a Jaccard similarity of 0.75, and a later line goes when
 any earlier one is that similar.
@@ -17,7 +18,8 @@ Defined cases: null texts have no lines and stay null; blank lines are never
 removed; lines are in the order of doc_id (nulls last), then text, then place;
 rows with equal ids and texts are one document and lose the same lines; a
 document that loses all its lines has an empty text; an empty table gives no
-rows; other columns are carried along whatever their names.
+rows; very long lines are compared whole; other columns are carried along
+whatever their names (one named removed_lines gives way to the result's).
 """
 
 from __future__ import annotations
@@ -44,32 +46,42 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _tokens(words: Column) -> Column:
     """Hashes of a line's five-word shingles, distinct; positive."""
-    window = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(SHINGLE))).bitwiseAND(F.lit(_LAST)))
+    positive = lambda x: F.xxhash64(x).bitwiseAND(F.lit(_LAST))
+    window = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (SHINGLE - 1)), lambda i: positive(F.slice(h, i, F.lit(SHINGLE))))
     few = lambda h: F.array(F.xxhash64(h, F.size(h)).bitwiseAND(F.lit(_LAST)))
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     return F.array_distinct(_let(hashes, lambda h: F.when(F.size(h) >= SHINGLE, window(h)).otherwise(few(h))))
 
 
-def line_tokens(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> d, h, line (where it stands), tokens, for every line that isn't blank."""
+def line_rows(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> d, h, line (where it stands), content, for every line that isn't blank."""
     rows = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    tokens = rows.select("d", "h", "line", _tokens(F.array_remove(F.split(F.lower("content"), " "), "")).alias("tokens"), F.trim("content").alias("content"))
-    return tokens.where("content <> ''").drop("content")
+    return rows.where(F.trim("content") != "")
+
+
+def _content_tokens() -> Column:
+    return _tokens(F.array_remove(F.split(F.lower("content"), " "), ""))
+
+
+def line_tokens(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> d, h, line, tokens, for every line that isn't blank."""
+    return line_rows(docs).select("d", "h", "line", _content_tokens().alias("tokens"))
 
 
-def _often(lines: DataFrame) -> list[int]:
-    """The buckets of the rarity sketch with more tokens than chance puts there, over all lines; SKETCH numbers at most."""
+def rarity(lines: DataFrame) -> bytes:
+    """For each bucket of the sketch a class, 0 to 30: the logarithm of its tokens beyond what chance puts there, over all lines; SKETCH bytes."""
     counts = lines.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(SKETCH - 1)).alias("bucket")).count()
-    counts = materialize(counts, "sketch")
-    mean = (counts.agg(F.sum("count")).first()[0] or 0) / SKETCH
-    return [r.bucket for r in counts.where(F.col("count") > mean + 6 * mean**0.5 + 8).select("bucket").collect()]
+    found = {r.bucket: r["count"] for r in counts.collect()}  # SKETCH rows at most
+    mean = sum(found.values()) / SKETCH
+    usual = mean + 6 * mean**0.5 + 8
+    return bytes(min(30, max(0, found.get(i, 0) / usual).__trunc__().bit_length()) for i in range(SKETCH))
 
 
-def _ordered(tokens: Column, often: list[int]) -> Column:
-    """Tokens rarest first: those of frequent buckets have the top bit but one, and come last."""
-    if not often:
-        return F.sort_array(F.transform(tokens, lambda t: F.shiftright(t, 1)))
-    return F.sort_array(F.transform(tokens, lambda t: F.when(t.bitwiseAND(F.lit(SKETCH - 1)).isin(often), F.lit(1 << 62)).otherwise(F.lit(0)).bitwiseOR(F.shiftright(t, 1))))
+def _ordered(tokens: Column, classes: bytes) -> Column:
+    """Tokens rarest first: the class of their bucket in the top bits, the rest of the hash below."""
+    kept = F.lit(classes)
+    of = lambda t: F.ascii(F.substring(kept, (t.bitwiseAND(F.lit(SKETCH - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
+    return F.sort_array(F.transform(tokens, lambda t: F.call_function("shiftleft", of(t).cast("long"), F.lit(58)).bitwiseOR(F.shiftright(t, 5))))
 
 
 def _bits(tokens: Column, word: int) -> Column:
@@ -80,13 +92,12 @@ def _bits(tokens: Column, word: int) -> Column:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> d, h, line of every line to which an earlier one is similar."""
-    lines = materialize(line_tokens(docs), "lines")
-    often = _often(lines)
+    lines = line_tokens(docs)
+    classes = rarity(lines)
     n = F.size("tokens")
-    prefix = F.slice(_ordered(F.col("tokens"), often), 1, n - F.ceil(n * 0.75).cast("int") + 1)
+    prefix = F.slice(_ordered(F.col("tokens"), classes), 1, n - F.ceil(n * 0.75).cast("int") + 1)
     digest = F.xxhash64(F.sort_array("tokens"))
     sets = materialize(lines.select("d", "h", "line", n.alias("n"), digest.alias("id"), prefix.alias("prefix")), "sets")
-    discard(lines)  # half of all bytes; the tokens of candidates are made again
     place = F.struct("d", "h", "line")
     first = materialize(sets.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "classes")
 
@@ -99,7 +110,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     wanted = sized(materialize(spots.select("id", "first.*"), "spots"), KEYS)
     owners = sized(materialize(wanted.select("d", "h").distinct(), "owners"), KEYS)
     held = docs.withColumn("d", F.coalesce("doc_id", F.lit(_LAST))).withColumn("h", F.xxhash64("text")).join(owners, ["d", "h"], "left_semi").select("doc_id", "text")
-    tokens = line_tokens(held).join(wanted, ["d", "h", "line"]).select("id", "d", "h", "line", "tokens").dropDuplicates(["id"])
+    tokens = line_rows(held).join(wanted, ["d", "h", "line"]).select("id", "d", "h", "line", _content_tokens().alias("tokens")).dropDuplicates(["id"])
     tokens = materialize(tokens, "tokens")
     sigs = materialize(tokens.select("id", F.struct("d", "h", "line").alias("first"), "tokens", _bits(F.col("tokens"), 0).alias("s0"), _bits(F.col("tokens"), 1).alias("s1")), "signed")
     discard(tokens)
@@ -138,10 +149,12 @@ def _verified(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """documents(doc_id, text, ...) -> the same columns, text without the removed lines, and removed_lines (array of places)."""
-    columns = docs.columns
-    rows = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__h", F.xxhash64("text"))
+    columns = [c for c in docs.columns if c != "removed_lines"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("row", "text", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("h"))
     gone = removed_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    gone = gone.distinct().groupBy(F.col("d").alias("__d"), F.col("h").alias("__h")).agg(F.array_sort(F.collect_list("line")).alias("__gone"))
-    joined = rows.join(gone, ["__d", "__h"], "left")
-    kept = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull()), "\n")
-    return joined.select(*(F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns), F.coalesce("__gone", F.expr("cast(array() as array<int>)")).alias("removed_lines"))
+    gone = gone.distinct().groupBy("d", "h").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    joined = rows.join(gone, ["d", "h"], "left")
+    kept = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n")
+    text = F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("text")).alias("text")
+    return joined.select(*(text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns), F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("removed_lines"))
