@@ -22,6 +22,7 @@ TOKEN = rf"{WORD}|\p{{Nd}}+(?:\.\p{{Nd}}+)?|{CJK}"
 # Abbreviations after which a sentence goes on.
 ABBREVIATIONS = ("e.g.", "i.e.", "et al.", "Fig.", "Figs.", "Eq.", "Eqs.", "Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "vs.", "No.", "Nos.", "cf.")
 
+# Where a sentence ends.
 SENTENCE_END = r"""(?<=[。！？!?])\s*|(?<=\.)\s+(?=["'“‘(\[]?[A-Z0-9\x{3400}-\x{9fff}])"""
 
 
@@ -101,6 +102,7 @@ def squeeze(text: Column) -> Column:
 
 
 def clean_markdown(text: Column) -> Column:
+    # What goes, and in which order.
     steps = (
         (r"(?s)```.*?```", " "), (r"(?s)~~~.*?~~~", " "), (r"`([^`]*)`", "$1"),
         (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"<[^>]+>", " "),
@@ -114,6 +116,7 @@ def clean_latex(text: Column) -> Column:
 
     Inline math uses possessive repeats, so a long span can't exhaust the stack.
     """
+    # What goes, and in which order.
     heads = "part|chapter|section|subsection|subsubsection|paragraph|subparagraph|caption"
     steps = (
         (r"(?dm)(?<!\\)%.*$", ""),
@@ -138,10 +141,24 @@ def clean(text: Column, suffix: str = ".txt") -> Column:
     return text
 
 
+def _parts(text: Column, pattern: str) -> Column:
+    """The parts of a cleaned text between matches.  split compiles its expression for every row, replace does once; cleaned texts have no control characters."""
+    return F.split(sub(text, pattern, "\x01"), "\x01", -1)
+
+
+def has_tokens(text: Column, n: int) -> Column:
+    """Whether a text has n tokens; its beginning mostly tells."""
+    return (F.size(tokens(F.substring(text, 1, 40 * n))) >= n) | (F.size(tokens(text)) >= n)
+
+
 def paragraphs(text: Column, min_tokens: int = 1) -> Column:
-    """Blocks between blank lines, squeezed, of at least min_tokens tokens."""
-    blocks = F.transform(F.split(text, r"(?U)\n\s*\n+"), squeeze)
-    return F.filter(blocks, lambda p: F.size(tokens(p)) >= min_tokens)
+    """Blocks between blank lines of a cleaned text, squeezed, of at least min_tokens tokens."""
+    return F.filter(F.transform(_parts(text, r"(?U)\n\s*\n+"), squeeze), lambda p: has_tokens(p, min_tokens))
+
+
+#: Abbreviations in lower case that hold no other, and characters that other case rules take for one of their letters.
+_SHORTEST = tuple(x for x in (a.lower() for a in ABBREVIATIONS) if not any(b.lower() in x and b.lower() != x for b in ABBREVIATIONS))
+_FOLDED = "\u0130\u0131\u017f\u212a"
 
 
 def _mark(i: int) -> str:
@@ -149,15 +166,18 @@ def _mark(i: int) -> str:
 
 
 def sentences(paragraph: Column) -> Column:
-    """The sentences of a paragraph that have two tokens or more.
+    """The sentences of a squeezed paragraph that have two tokens or more.
 
     Abbreviations are found in any case and inside words, and come back in their
-    usual case; they are held as private-use characters meanwhile.
+    usual case; they are held as private-use characters meanwhile.  Most paragraphs
+    have none, which plain searches tell.
     """
+    low = F.lower(paragraph)
+    some = reduce(lambda x, y: x | y, [F.contains(low, F.lit(x)) for x in _SHORTEST] + [F.contains(paragraph, F.lit(c)) for c in _FOLDED])
     held = reduce(lambda t, x: sub(t, rf"(?iu)\Q{x[1]}\E", _mark(x[0])), enumerate(ABBREVIATIONS), paragraph)
     back = lambda s: reduce(lambda t, x: F.replace(t, F.lit(_mark(x[0])), F.lit(x[1])), enumerate(ABBREVIATIONS), s)
-    parts = F.transform(F.split(held, f"(?U){SENTENCE_END}"), lambda s: squeeze(back(s)))
-    return F.filter(parts, lambda s: F.size(tokens(s)) >= 2)
+    parts = F.when(some, F.transform(_parts(held, f"(?U){SENTENCE_END}"), lambda s: squeeze(back(s)))).otherwise(_parts(paragraph, f"(?U){SENTENCE_END}"))
+    return F.filter(parts, lambda s: has_tokens(s, 2))
 
 
 def all_sentences(text: Column, min_tokens: int = 1) -> Column:
@@ -166,3 +186,18 @@ def all_sentences(text: Column, min_tokens: int = 1) -> Column:
 
 def variation(cv: Column, n: Column) -> Column:
     return F.when(cv.isNull() | (n < 4), "insufficient_data").when(cv < 0.18, "very_low_variation").when(cv < 0.32, "low_variation").when(cv < 0.50, "moderate_variation").otherwise("high_variation")
+
+
+def mode(values: Column, kind: str) -> Column:
+    """struct(v, n): the most frequent of an array's values, of equal ones the first seen, and its count; linear once sorted."""
+    placed = F.array_sort(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    start = F.expr(f"named_struct('v', cast(null as {kind}), 'i', 0, 'n', 0L, 'best', named_struct('v', cast(null as {kind}), 'n', 0L, 'i', 0))")
+
+    def step(a: Column, x: Column) -> Column:
+        same = x["v"] == a["v"]
+        first, n = F.when(same, a["i"]).otherwise(x["i"]), F.when(same, a["n"] + 1).otherwise(F.lit(1).cast("long"))
+        better = (n > a["best"]["n"]) | ((n == a["best"]["n"]) & (first < a["best"]["i"]))
+        best = F.struct(F.when(better, x["v"]).otherwise(a["best"]["v"]).alias("v"), F.when(better, n).otherwise(a["best"]["n"]).alias("n"), F.when(better, first).otherwise(a["best"]["i"]).alias("i"))
+        return F.struct(x["v"].alias("v"), first.alias("i"), n.alias("n"), best.alias("best"))
+
+    return F.aggregate(placed, start, step, lambda a: F.struct(a["best"]["v"].alias("v"), a["best"]["n"].alias("n")))

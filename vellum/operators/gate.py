@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -163,19 +164,131 @@ def placeholders(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("placeholder", T.squeeze(T.nfkc("p"))).groupBy("doc_id", "placeholder").agg(F.count("*").alias("n"))
 
 
+def _matched(low: float) -> Column:
+    """struct(low, missing, added) from the columns before and after, each array<struct<key, pos, units>>: a section is its key's last."""
+    entry = lambda side: lambda x: F.struct(x["key"].alias("key"), F.lit(side).alias("side"), x["pos"].alias("pos"), x["units"].alias("units"))
+    entries = F.array_sort(F.concat(F.transform("before", entry(0)), F.transform("after", entry(1))))
+    return T.let(entries, lambda every: F.aggregate(F.filter(every, lambda x, i: ~_same(x, F.get(every, i + 1))), F.expr("named_struct('key', '', 'units', -1L, 'low', 0L, 'missing', 0L, 'added', 0L)"), _match(low), lambda a: F.struct(a["low"].alias("low"), a["missing"].alias("missing"), a["added"].alias("added"))))
+
+
+def _same(x: Column, y: Column) -> Column:
+    return F.coalesce((x["key"] == y["key"]) & (x["side"] == y["side"]), F.lit(False))
+
+
+def _match(low: float) -> Callable[[Column, Column], Column]:
+    """One step over sections in order of key, the earlier version's first; units is -1 unless a section waits for its match."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def step(a: Column, x: Column) -> Column:
+        old = x["side"] == 0
+        met = ~old & (a["key"] == x["key"]) & (a["units"] >= 0)
+        judged = met & ~x["key"].isin("abstract", "references") & (a["units"] > 0) & (F.round(x["units"] / a["units"], 4) < low)
+        return F.struct(
+            x["key"].alias("key"),
+            F.when(old, x["units"]).otherwise(F.lit(-1).cast("long")).alias("units"),
+            (a["low"] + F.when(judged, one).otherwise(none)).alias("low"),
+            (a["missing"] + F.when(old, one).when(met, -one).otherwise(none)).alias("missing"),
+            (a["added"] + F.when(~old & ~met, one).otherwise(none)).alias("added"),
+        )
+
+    return step
+
+
+def _moves(sentences: Column, lang: Column) -> Column:
+    """struct(profile, sentences, either, claim, boundary) of a section's sentences."""
+    kinds = ("claim", "boundary", "recommendation")
+    marks = F.transform(sentences, lambda s: F.struct(*(m.alias(k) for k, m in labels(s, lang).items())))
+
+    def judged(m: Column) -> Column:
+        first = lambda k: F.array_position(F.transform(m, lambda x: F.coalesce(x[k], F.lit(False))), F.lit(True))
+        places = F.array(*(F.struct(first(k).alias("at"), F.lit(i).alias("rank"), F.lit(k[0].upper()).alias("l")) for i, k in enumerate(kinds)))
+        order = F.array_join(F.transform(F.array_sort(F.filter(places, lambda x: x["at"] > 0)), lambda x: x["l"]), "-")
+        count = lambda f: F.size(F.filter(m, f)).cast("long")
+        return F.struct(
+            F.when(order != "", order).otherwise("none").alias("profile"),
+            F.size(m).cast("long").alias("sentences"),
+            count(lambda x: x["boundary"] | x["recommendation"]).alias("either"),
+            (count(lambda x: x["claim"]) > 0).alias("claim"),
+            (count(lambda x: x["boundary"]) > 0).alias("boundary"),
+        )
+
+    return T.let(marks, judged)
+
+
+def _cosine(x: Column, y: Column) -> Column:
+    """Cosine of two arrays of grams as multisets; 0 if one is empty.  One pass over both, sorted."""
+    placed = lambda g, side: F.transform(g, lambda v: F.struct(v.alias("g"), F.lit(side).alias("side")))
+    start = F.expr("named_struct('g', cast(null as string), 'a', 0L, 'b', 0L, 'dot', 0L, 'aa', 0L, 'bb', 0L)")
+
+    def step(s: Column, v: Column) -> Column:
+        same = F.coalesce(s["g"] == v["g"], F.lit(False))
+        left = v["side"] == 0
+        a, b = (F.when(same, s[c]).otherwise(F.lit(0).cast("long")) for c in "ab")
+        # sums of products and squares grow by what one more of a kind adds
+        return F.struct(
+            v["g"].alias("g"),
+            F.when(left, a + 1).otherwise(a).alias("a"),
+            F.when(left, b).otherwise(b + 1).alias("b"),
+            (s["dot"] + F.when(left, b).otherwise(a)).alias("dot"),
+            (s["aa"] + F.when(left, 2 * a + 1).otherwise(0)).alias("aa"),
+            (s["bb"] + F.when(left, 0).otherwise(2 * b + 1)).alias("bb"),
+        )
+
+    def finish(s: Column) -> Column:
+        norm = F.sqrt(s["aa"].cast("double")) * F.sqrt(s["bb"].cast("double"))
+        return F.when(norm > 0, s["dot"] / norm).otherwise(0.0)
+
+    return F.aggregate(F.array_sort(F.concat(placed(x, 0), placed(y, 1))), start, step, finish)
+
+
+def document_findings(pairs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """One row for each document with all that the findings judge, from one parse of both versions: nothing is shuffled."""
+    lang, moves = F.col("language"), F.col("move_language")
+    total = lambda text, patterns: sum((T.count_all(text, f"(?iU){p}") for p in patterns), F.lit(0).cast("long"))
+    rows = with_language(pairs).select(
+        "doc_id", "language", "move_language", T.units(F.col("b"), lang).alias("before_units"), T.units(F.col("a"), lang).alias("after_units"),
+        total(F.coalesce("after", F.lit("")), (p for _, p in P.RESIDUE)).alias("residue"), total(F.coalesce("after", F.lit("")), P.PLACEHOLDERS).alias("placeholders"),
+        *(segment.keyed_array(F.col(c)).alias(c) for c in ("before", "after")),
+    )
+    rows = rows.withColumns({c: F.transform(c, lambda s, i: F.struct(s["key"].alias("key"), i.alias("pos"), s["level"].alias("level"), s["title"].alias("title"), s["body"].alias("body"), T.units(s["body"], lang).alias("units"))) for c in ("before", "after")})
+    plain = lambda array: F.filter(array, lambda s: ~((s["level"] == 1) & (F.size(array) > 1)))
+    named = lambda s: F.lower(s["title"]).rlike("|".join(rf"\Q{h}\E" for h in P.CONCLUSION))
+    after = F.col("after")
+    rows = rows.select(
+        "doc_id", "language", "move_language", "before_units", "after_units", "residue", "placeholders",
+        *(plain(F.col(c)).alias(c) for c in ("before", "after")),
+        F.get(F.filter(after, lambda s: s["key"] == "abstract"), F.lit(0))["body"].alias("abstract"),
+        F.try_element_at(F.filter(after, named), F.lit(-1))["body"].alias("conclusion"),
+    )
+    body = F.filter(after, lambda s: ~s["key"].isin("abstract", "references"))
+    rows = rows.select(
+        "doc_id", "before_units", "after_units", "residue", "placeholders",
+        _matched(limits.min_section_retention).alias("matched"),
+        F.transform(body, lambda s: s["units"]).alias("lengths"),
+        F.transform(body, lambda s: _moves(T.all_sentences(T.clean(s["body"], ".md")), moves)).alias("moves"),
+        F.when(F.col("abstract").isNotNull() & F.col("conclusion").isNotNull(), _cosine(grams(F.col("abstract"), lang), grams(F.col("conclusion"), lang))).alias("cosine"),
+    )
+    sums = F.aggregate("lengths", F.expr("named_struct('s', 0L, 'q', 0L)"), lambda a, u: F.struct((a["s"] + u).alias("s"), (a["q"] + u * u).alias("q")))
+    long = lambda c: c.cast("long")
+    of = lambda f: long(F.size(F.filter("moves", f)))
+    over = lambda k: F.aggregate("moves", long(F.lit(0)), lambda a, m: a + m[k])
+    rows = rows.select(
+        "doc_id", "before_units", "after_units", "residue", "placeholders", "matched.*", "cosine",
+        long(F.size("lengths")).alias("body"), sums.alias("sums"), long(F.size("moves")).alias("sections"),
+        T.mode(F.transform("moves", lambda m: m["profile"]), "string").alias("common"),
+        of(lambda m: m["claim"] & m["boundary"]).alias("claim_boundary"), over("sentences").alias("sentences"), over("either").alias("either"),
+    )
+    cv = F.round(sample_cv(F.col("body"), F.col("sums.s"), F.col("sums.q")), 3)
+    return rows.select("*", cv.alias("cv"), F.col("common.v").alias("common_profile"), F.col("common.n").alias("common_count")).withColumn("cosine", F.round("cosine", 4))
+
+
 def findings(pairs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, failures, warnings (codes in order, comma-joined), status.
 
     Sections below the floor and the architecture's cv are judged after rounding
     to four and three places, the overall retention before.
     """
-    low = section_retention(pairs).where(~F.col("key").isin("abstract", "references") & (F.round("retention", 4) < limits.min_section_retention)).groupBy("doc_id").agg(F.count("*").alias("low"))
-    changes = heading_changes(pairs).groupBy("doc_id").agg(F.sum((F.col("change") == "missing").cast("long")).alias("missing"), F.sum((F.col("change") == "added").cast("long")).alias("added"))
-    rows = document_facts(pairs).join(low, "doc_id", "left").join(changes, "doc_id", "left")
-    rows = rows.join(residue(pairs).groupBy("doc_id").agg(F.sum("n").alias("residue")), "doc_id", "left")
-    rows = rows.join(placeholders(pairs).groupBy("doc_id").agg(F.sum("n").alias("placeholders")), "doc_id", "left")
-    rows = rows.join(architecture(pairs).select("doc_id", F.col("n").alias("body"), F.round("cv", 3).alias("cv")), "doc_id", "left")
-    rows = rows.join(profile_modes(pairs), "doc_id", "left").join(abstract_conclusion(pairs).select("doc_id", F.round("cosine", 4).alias("cosine")), "doc_id", "left")
+    rows = document_findings(pairs, limits)
     n = lambda c: F.coalesce(c, F.lit(0))
     retention = F.when(F.col("before_units") > 0, F.col("after_units") / F.col("before_units")).otherwise(1.0)
     ready, sections, cv = F.lit(limits.publication_ready), n("sections"), F.col("cv")

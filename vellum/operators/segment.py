@@ -41,6 +41,14 @@ def section_array(text: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(whole)
 
 
+def keyed_array(text: Column) -> Column:
+    """section_array with the keys: array<struct<key, level, title, body>>."""
+    text = F.coalesce(text, F.lit(""))
+    whole = lambda s, n: (n == 1) & (s["title"] == "Document") & (s["level"] == 1)
+    keyed = lambda n: lambda s: F.struct(F.when(whole(s, n), "document").otherwise(section_key(s["title"])).alias("key"), s["level"].alias("level"), s["title"].alias("title"), s["body"].alias("body"))
+    return T.let(section_array(text), lambda every: F.transform(every, keyed(F.size(every))))
+
+
 def sections(docs: DataFrame, column: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, carried columns, pos, n_sections, level, title, key, body."""
     rows = docs.select("doc_id", *carry, section_array(F.col(column)).alias("s")).select("doc_id", *carry, F.size("s").alias("n_sections"), F.posexplode("s").alias("pos", "s"))
@@ -54,15 +62,15 @@ def body_sections(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("key").isin("abstract", "references") & ~((F.col("level") == 1) & (F.col("n_sections") > 1)))
 
 
-def texture_sections(docs: DataFrame, column: str) -> DataFrame:
-    """The texture audit's body sections: the numbered ones if there are any, else as the gate's by title."""
+def texture_sections(docs: DataFrame, column: str, suffix: str = ".md") -> DataFrame:
+    """The texture audit's body sections with the whole text's language: the numbered ones if there are any, else as the gate's by title."""
     array = section_array(F.col(column))
     numbered = lambda s: F.trim(s["title"]).rlike(r"(?U)^\s*\d+(?:[.、)]|\s)")
     low = lambda s: F.lower(s["title"])
     plain = lambda all_: F.filter(all_, lambda s: ~low(s).isin(*P.ABSTRACT) & ~_any_in(low(s), P.REFERENCES) & ~((s["level"] == 1) & (F.size(all_) > 1)))
-    rows = docs.select("doc_id", F.col(column).alias("text"), array.alias("all"))
-    rows = rows.select("doc_id", "text", F.when(F.exists("all", numbered), F.filter("all", numbered)).otherwise(plain(F.col("all"))).alias("s"))
-    return rows.select("doc_id", "text", F.size("s").alias("n_sections"), F.posexplode_outer("s").alias("pos", "s")).select("doc_id", "text", "n_sections", "pos", "s.title", "s.body")
+    rows = docs.select("doc_id", T.language(T.clean(F.col(column), suffix)).alias("language"), array.alias("all"))
+    rows = rows.select("doc_id", "language", F.when(F.exists("all", numbered), F.filter("all", numbered)).otherwise(plain(F.col("all"))).alias("s"))
+    return rows.select("doc_id", "language", F.size("s").alias("n_sections"), F.posexplode_outer("s").alias("pos", "s")).select("doc_id", "language", "n_sections", "pos", "s.title", "s.body")
 
 
 def sentence_rows(docs: DataFrame, column: str, suffix: str = ".txt", min_tokens: int = 4) -> DataFrame:

@@ -26,7 +26,7 @@ def _total(meta: Column) -> Column:
 
 def section_rows(docs: DataFrame, column: str, suffix: str = ".md") -> DataFrame:
     """A row for each body section with everything that is counted in it; documents without one have a row without a title."""
-    rows = texture_sections(docs, column).withColumn("language", T.language(T.clean(F.col("text"), suffix)))
+    rows = texture_sections(docs, column, suffix)
     zh = F.col("language") == "zh"
     rows = rows.select("doc_id", "language", "n_sections", "pos", "title", "body", T.paragraphs(T.clean(F.col("body"), ".md")).alias("p"))
     rows = rows.withColumn("split", F.transform("p", T.sentences)).withColumn("s", F.flatten("split")).withColumn("last", F.coalesce(F.try_element_at("p", F.lit(-1)), F.lit(""))).withColumn("final", F.coalesce(F.try_element_at("split", F.lit(-1)), F.array().cast("array<string>")))
@@ -35,7 +35,7 @@ def section_rows(docs: DataFrame, column: str, suffix: str = ".md") -> DataFrame
     count = lambda k: F.size(F.filter("marks", lambda m: m[k])).cast("long")
     ends = F.exists("final", lambda s: labels(s, F.col("language"), P.TEXTURE_MOVES)["boundary"] | labels(s, F.col("language"), P.TEXTURE_MOVES)["recommendation"])
     return rows.select(
-        "doc_id", "language", "n_sections", "pos", "title", "body",
+        "doc_id", "language", "n_sections", "pos", "title",
         F.size("p").cast("long").alias("paragraphs"),
         F.transform("p", lambda p: T.units(p, F.col("language"))).alias("paragraph_units"),
         F.transform("split", lambda s: F.size(s).cast("long")).alias("sentence_counts"),
@@ -58,19 +58,18 @@ def closures(docs: DataFrame, column: str) -> DataFrame:
 
 def meta_voice(docs: DataFrame, column: str) -> DataFrame:
     """doc_id, pos, label, n in each body section."""
-    rows = texture_sections(docs, column).where("pos is not null").withColumn("zh", T.language(T.clean(F.col("text"), ".md")) == "zh")
-    return rows.select("doc_id", "pos", F.explode(_meta_array(F.col("body"), F.col("zh"))).alias("x")).select("doc_id", "pos", "x.label", "x.n")
+    rows = texture_sections(docs, column).where("pos is not null")
+    return rows.select("doc_id", "pos", F.explode(_meta_array(F.col("body"), F.col("language") == "zh")).alias("x")).select("doc_id", "pos", "x.label", "x.n")
 
 
 def _described(values: Column, name: str) -> list[Column]:
     """n, sum, squares, min, max, mode (ties: first seen) and its count, from an array in order."""
     total = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
     squares = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x * x)
-    counted = F.transform(F.array_distinct(values), lambda v: F.struct((-F.size(F.filter(values, lambda x: x == v))).alias("m"), F.array_position(values, v).alias("first"), v.alias("v")))
-    best = F.array_min(counted)
+    best = T.mode(values, "long")
     return [
         F.size(values).cast("long").alias(f"{name}_n"), total.alias(f"{name}_sum"), squares.alias(f"{name}_squares"), F.array_min(values).alias(f"{name}_min"), F.array_max(values).alias(f"{name}_max"),
-        best["v"].alias(f"{name}_mode"), F.coalesce(-best["m"], F.lit(0)).cast("long").alias(f"{name}_mode_count"),
+        best["v"].alias(f"{name}_mode"), best["n"].alias(f"{name}_mode_count"),
     ]
 
 
@@ -89,10 +88,9 @@ def rollup(docs: DataFrame, column: str) -> DataFrame:
         *(F.coalesce(F.sum(F.when(F.col("pos").isNotNull(), F.col(k))), F.lit(0)).alias(k) for k in ("sentences", "boundary", "recommendation", "corrective")),
         flag(three).alias("all_three"), flag(F.col("meta") > 0).alias("meta_sections"),
         *(flag(F.col(k) & F.col("pos").isNotNull()).alias(k) for k in ("closure_corrective", "closure_judgement", "closure_boundary")),
-        ordered("paragraphs", "paragraph_units", "sentence_counts", "body").alias("x"),
+        F.coalesce(F.sum(F.when(F.col("pos").isNotNull(), F.col("meta"))), F.lit(0)).alias("meta"),  # no pattern reaches over a line's end
+        ordered("paragraphs", "paragraph_units", "sentence_counts").alias("x"),
     )
-    joined = F.array_join(F.transform("x", lambda s: s["body"]), "\n")
-    out = out.withColumn("meta", F.when(F.col("sections") > 0, _total(_meta_array(joined, F.col("language") == "zh"))).otherwise(F.lit(0)))
     arrays = (F.transform("x", lambda s: s["paragraphs"]), F.flatten(F.transform("x", lambda s: s["paragraph_units"])), F.flatten(F.transform("x", lambda s: s["sentence_counts"])))
     for name, values in zip(GEOMETRY, arrays, strict=True):
         out = out.withColumn(name, values)
