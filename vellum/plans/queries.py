@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from vellum.operators import gate, guard, lock, segment, style, texture
 from vellum.plans.manuscripts import chinese, manuscripts
 from vellum.plans.oracles import TERMS
+from vellum.sources.tables import read_table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return read_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "transition_hedge_booster": _on(_before, style.term_counts),
         "triadic_lists": _on(_before, style.triads),
         "repeated_cjk_phrases": _on(lambda spark, sf_dir: chinese(_documents(spark, sf_dir)), style.cjk_phrases),
-        "clean_markdown_pages": lambda spark, sf_dir: _long(style.clean_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))),
+        "clean_markdown_pages": lambda spark, sf_dir: _long(style.clean_pages(read_table(spark, f"{sf_dir}/pages.parquet", "page_id", "html"))),
         "lock_numbers": _on(_pairs, of("numbers"), "category"),
         "lock_citations": _on(_pairs, of("citations"), "category"),
         "lock_identifiers": _on(_pairs, of("identifiers"), "category"),
