@@ -2,7 +2,9 @@
 
 Each stage takes what its predecessor kept and returns the columns of
 ``documents``; the last returns packed pieces.  Stages are written as Parquet
-and read again.  Rows without a doc_id are told apart by their text.
+and read again.  Rows without a doc_id are told apart by their text.  Columns
+other than doc_id and text are carried along whatever their names; n_chars
+follows the text where lines are removed.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from vellum.llm.toxicity import toxicity_scores
 from vellum.llm.workspace import fresh_path, materialize, sized
 
 #: Ids that are broadcast at most; more are joined by shuffling.
-IDS = 1_000_000
+IDS = 200_000
 
 #: No SQL can express the classifier, the alignment and the packing.
 ORACLE_SQL = None
@@ -30,40 +32,50 @@ def _key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(2**63))))
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with doc_id and text under their names and other columns under numbered ones, so that none clashes with a stage's own."""
+    return docs.toDF(*(c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the keys in gone (one column, key)."""
+    """docs, as _plain gives them, but for the keys in gone (one column, key)."""
     gone = sized(materialize(gone.select("key").distinct(), "gone"), IDS)
-    return docs.withColumn("__key", _key()).join(gone.withColumnRenamed("key", "__key"), "__key", "left_anti").select(*docs.columns)
+    return docs.withColumn("key", _key()).join(gone, "key", "left_anti").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    scored = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), tuple(docs.columns))
-    return scored.where("predicted = 0").select(*docs.columns)
+    rows = _plain(docs)
+    scored = toxicity_scores(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), tuple(rows.columns))
+    return scored.where("predicted = 0").select(*rows.columns).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier line resembles; those of which nothing but blanks is left by that go."""
-    out = dedup_lines(docs)
+    rows = _plain(docs)
+    out = dedup_lines(rows)
     changed = F.size("removed_lines") > 0
     kept = out.where(~changed | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
-    return kept.select(*(F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    chars = F.length("text").cast("long")
+    return kept.select(*(F.when(changed, chars).otherwise(F.col(c)).alias(name) if name == "n_chars" else F.col(c).alias(name) for name, c in zip(docs.columns, rows.columns, strict=True)))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id; exact repeats of a row leave one."""
-    members = materialize(ngram_components(docs.select(_key().alias("doc_id"), "text")), "components")
-    kept = _without(docs, members.where("doc_id <> component_id").select(F.col("doc_id").alias("key")))
-    again = sized(materialize(members.groupBy(F.col("doc_id").alias("__key")).count().where("count > 1").select("__key"), "again"), IDS)
-    keyed = kept.withColumn("__key", _key())
-    once = keyed.join(again, "__key", "left_semi").dropDuplicates(["__key", "text"])
-    return keyed.join(again, "__key", "left_anti").unionByName(once).select(*docs.columns)
+    rows = _plain(docs)
+    members = materialize(ngram_components(rows.select(_key().alias("doc_id"), "text")), "components")
+    kept = _without(rows, members.where("doc_id <> component_id").select(F.col("doc_id").alias("key")))
+    again = sized(materialize(members.groupBy(F.col("doc_id").alias("key")).count().where("count > 1").select("key"), "again"), IDS)
+    keyed = kept.withColumn("key", _key())
+    once = keyed.join(again, "key", "left_semi").dropDuplicates(["key", "text"])
+    return keyed.join(again, "key", "left_anti").unionByName(once).select(*rows.columns).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = contaminated(docs.select(_key().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select(F.col("doc_id").alias("key")))
+    rows = _plain(docs)
+    found = contaminated(rows.select(_key().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(rows, found.select(F.col("doc_id").alias("key"))).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
