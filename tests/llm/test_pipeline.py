@@ -86,3 +86,14 @@ def test_registered():
     names = [*queries(), "pipeline"]
     assert set(names) <= set(__spark_entry__.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+
+
+def test_clashing_columns(spark, small):
+    """Columns named as those that stages make are carried along."""
+    names = ("score", "predicted", "held_out", "key", "removed_lines", "__key", "doc id")
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    docs = docs.selectExpr("*", *(f"{i} as `{n}`" for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns, name
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(len(names)))}, name

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,9 +110,8 @@ def set_id(keys: np.ndarray) -> int:
     return int(np.add.reduce(wordhash.mix(keys)).view(np.int64)) if len(keys) else 0
 
 
-def shingle_sets(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+def shingle_sets(docs: DataFrame, kept: Broadcast) -> DataFrame:
     """docs(doc_id, text, spot) -> doc_id, spot, n, cid (of the set; null for the empty one), prefix, sig, wide."""
-    kept = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,9 +132,8 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
 
 
-def set_arrays(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+def set_arrays(docs: DataFrame, kept: Broadcast) -> DataFrame:
     """ref (cid of the set), keys; for documents with a set."""
-    kept = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +151,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("spot", F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("h")))
-    classes = rarity(docs)
+    classes = docs.sparkSession.sparkContext.broadcast(rarity(docs))  # 4 MB
     sets = materialize(shingle_sets(docs, classes).withColumn("row", F.monotonically_increasing_id()), "sets")
     # one row stands for each distinct set; its place in the table is the set's id in the join
     known = sets.where("cid is not null")
@@ -169,5 +168,6 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     labels = connect(first.select(F.explode("prefix").alias("key"), F.col("row").alias("id")), nodes, arrays_of)
     by_set = chosen.join(labels.select(F.col("id").alias("row"), "label"), "row", "left").select("cid", F.coalesce("label", "row").alias("label"))
     member = materialize(sets.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(by_set, "cid", "left"), "members")
+    classes.destroy()
     named = member.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return member.join(named, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.workspace import materialize
+from vellum.llm.workspace import bounded_batches, materialize
 
 CAPACITY = 4096
 END = 1
 #: Ranks within a length are counted in so many parts, so no length is one task's.
 PARTS = 64
-#: Words whose ids a worker keeps: the first that it meets, so nearly all frequent ones.
-CACHE_WORDS = 500_000
+#: Words whose ids a worker keeps, and their characters: the first that it meets, so nearly all frequent ones.
+CACHE_WORDS, CACHE_CHARS = 500_000, 8_000_000
 
 
 def _split(text: str) -> list[str]:
@@ -69,6 +69,7 @@ class CachedTokenizer:
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.flat = np.empty(0, "<u4")
         self.starts = np.empty(0, np.int64)
         self.sizes = np.empty(0, np.int64)
@@ -109,7 +110,7 @@ class CachedTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [_split(t) for t in texts]
         words = list(chain.from_iterable(split))
-        full, before = len(self.known) >= CACHE_WORDS, (len(self.known), len(self.flat))
+        before = len(self.known), len(self.flat)
         at = np.array(list(map(self.known.get, words, repeat(-1))), np.int64)
         unknown = np.flatnonzero(at < 0).tolist()
         missing = list(dict.fromkeys(words[i] for i in unknown))
@@ -120,10 +121,13 @@ class CachedTokenizer:
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
         past = np.cumsum([len(own) for own in split])
-        if full:  # what comes now is rare: it isn't kept
+        size = sum(map(len, missing))
+        if before[0] >= CACHE_WORDS or self.chars + size > CACHE_CHARS:  # what comes now is rare: it isn't kept
             for w in missing:
                 del self.known[w]
             self.starts, self.sizes, self.flat = self.starts[: before[0]], self.sizes[: before[0]], self.flat[: before[1]]
+        else:
+            self.chars += size
         return np.split(ids, ends[past[:-1] - 1]) if len(split) > 1 else [ids]
 
 
@@ -162,6 +166,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import wordhash
+from vellum.llm.workspace import bounded_batches
 
 TRAIN_ROWS = 6000
 DECISION = 0.7
@@ -267,6 +268,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """documents(doc_id, text), labels(doc_id, toxic) -> columns of documents, held_out, score, predicted: one row per document."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 

@@ -1,7 +1,8 @@
 """Where intermediate tables go: the shared folder named by ``spark.checkpoint.dir``.
 
 Executors may be lost at any time, so lineage is cut with files in that folder
-only.  Where the session names none (tests), a temporary folder is set.
+only.  Where the session names none, a temporary folder is set in local mode
+(tests); on a cluster that is an error, as other hosts couldn't read it.
 """
 
 from __future__ import annotations
@@ -35,11 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not top:
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="vellum-")
         sc.setCheckpointDir(top)
     path = f"{top.rstrip('/')}/vellum-{sc.applicationId}"
     if not getattr(sc, "_vellum_registered", False):
         sc._vellum_registered = True
+        # shuffle files go when their query ends; what is read again is in a table by then
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
         atexit.register(_delete, sc, path)
     return path
 
