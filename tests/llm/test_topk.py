@@ -9,9 +9,9 @@ from vellum.llm.topk import NEIGHBOURS_SQL, embedding_neighbours
 def brute(rows, k=10):
     ok = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in ok:
+    for n, (q, a) in enumerate(ok):
         if q % 100 == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(b) == len(a))
+            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(ok) if m != n and len(b) == len(a))
             out += [(q, r, i, -s) for r, (s, i) in enumerate(found[:k], 1)]
     return sorted(out)
 
@@ -46,3 +46,19 @@ def test_large_components(spark):
 def test_empty_and_few(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0]), (100, [2.0])]) == [(0, 1, 100, 2 * 1024 * 1024), (100, 1, 0, 2 * 1024 * 1024)]
+
+
+def test_repeated_ids(spark):
+    """Rows are told apart by place: others of a query's id are its candidates, and each is a query."""
+    rng = random.Random(6)
+    rows = [(i % 150, [rng.randrange(-9, 9) / 8 for _ in range(3)]) for i in range(400)] + [(100, [1.0, 1.0, 1.0])] * 3
+    got = run(spark, rows)
+    assert got == brute(rows) and sum(q == 100 and i == 100 for q, _, i, _ in got) > 3
+
+
+def test_many_shards(spark, monkeypatch):
+    monkeypatch.setattr("vellum.llm.topk.SHARD_ROWS", 40)
+    monkeypatch.setattr("vellum.llm.topk.BLOCK_VALUES", 20)
+    rng = random.Random(7)
+    rows = [(i, [rng.randrange(-50, 50) / 32 for _ in range(5)]) for i in range(900)]
+    assert run(spark, rows) == brute(rows)

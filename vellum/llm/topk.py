@@ -4,30 +4,33 @@ Method: vectors become integers; each shard holds a block of them under a ball
 tree.  A query walks a shard's nodes in the order of the largest inner product
 a ball allows (q.c + |q| r) and stops when that falls below its current kth
 score.  That score starts from the query's home shard and goes with the query
-to every other shard, so all shards share it.  Queries go in blocks of bounded
-size; shards return their k best and the best of those are kept.
+to every other shard; a task that searches several shards carries the best found
+so far from one to the next.  Trees are built once and written; queries go in
+blocks of bounded size, tasks return their k best and the best of those are kept.
 
 Sums are exact: products are summed in float64 while the largest possible sum
 stays below 2^52, else in Python integers; what a long can't hold becomes its extreme.  Only vectors of a query's own
 dimension are compared.
 
 Defined cases: null vectors, and vectors with null or non-finite components,
-take no part, nor do rows with a null id; rows that share the query's id are
-not its candidates; repeated rows of an id are candidates each, told apart by
-nothing, so an id may stand twice; fewer candidates give fewer ranks; an empty
-table gives no rows; other columns play no part.
+take no part, nor do rows with a null id; a query's candidates are all rows but
+its own, so other rows of its id are among them, and every row of an id is a
+query and a candidate by itself; equal scores go to the smaller vec_id; fewer
+candidates give fewer ranks; an empty table gives no rows; other columns play no
+part.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.workspace import materialize
@@ -51,6 +54,16 @@ class Ball:
     right: Ball | None = None
 
 
+@dataclass
+class Shard:
+    """A block of vectors with its tree; places tell rows apart."""
+
+    tree: Ball
+    points: np.ndarray
+    ids: np.ndarray
+    places: np.ndarray
+
+
 def build(points: np.ndarray, rows: np.ndarray) -> Ball:
     """A ball tree: parts are split between two far points until they fit a leaf."""
     own = points[rows]
@@ -74,8 +87,9 @@ def exact_scores(points: np.ndarray, query: np.ndarray) -> list[int]:
     return [sum(int(x) * y for x, y in zip(p, q, strict=True)) for p in points]
 
 
-def search(tree: Ball, points: np.ndarray, ids: np.ndarray, query: np.ndarray, own_id: int, k: int, floor: float) -> list[tuple[int, int]]:
-    """The k best (score, id) of a shard that reach floor; ties to the smaller id."""
+def search(shard: Shard, query: np.ndarray, place: int, k: int, floor: float, best: list[tuple[int, int]]) -> None:
+    """Add to best, a heap of the k best (score, -id) so far, what of a shard reaches floor and beats it; ties to the smaller id."""
+    tree, points, ids, places = shard.tree, shard.points, shard.ids, shard.places
     norm = float(np.sqrt((query**2).sum()))
     slack = 1e-9
 
@@ -83,7 +97,6 @@ def search(tree: Ball, points: np.ndarray, ids: np.ndarray, query: np.ndarray, o
         value = float(query @ ball.center) + norm * ball.radius
         return value + slack * (abs(value) + norm * (float(np.abs(ball.center).max(initial=0)) + ball.radius) + 1)
 
-    best: list[tuple[int, int]] = []  # a heap, worst first: (score, -id)
     queue = [(-bound(tree), 0, tree)]
     tick = 1
     while queue:
@@ -97,14 +110,13 @@ def search(tree: Ball, points: np.ndarray, ids: np.ndarray, query: np.ndarray, o
                 tick += 1
             continue
         for i, score in zip(ball.rows, exact_scores(points[ball.rows], query), strict=True):
-            if ids[i] == own_id or score < floor:
+            if places[i] == place or score < floor:
                 continue
             entry = (score, -int(ids[i]))
             if len(best) < k:
                 heapq.heappush(best, entry)
             elif entry > best[0]:
                 heapq.heapreplace(best, entry)
-    return [(s, -i) for s, i in best]
 
 
 def whole_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -118,69 +130,76 @@ def _stack(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim).astype(np.float64)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """vectors and queries(vec_id, dim, v) -> query_id, rank, vec_id, score."""
+def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
+    """vectors(vec_id, dim, v) -> query_id, rank, vec_id, score for the rows that are queries."""
     spark = vectors.sparkSession
-    vectors, queries = materialize(vectors, "vectors"), materialize(queries.dropDuplicates(["vec_id", "v"]).withColumn("place", F.monotonically_increasing_id()), "queries")
-    rows = vectors.count()
+    vectors = materialize(vectors.withColumn("is_query", is_query).withColumn("place", F.monotonically_increasing_id()), "vectors")
+    shards = max(1, math.ceil(vectors.count() / SHARD_ROWS))
+    placed = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "place"), F.lit(shards)))
     out = None
     for dim in (r.dim for r in vectors.select("dim").distinct().collect()):  # a row for each dimension
-        shards = max(1, math.ceil(rows / SHARD_ROWS))
-        placed = vectors.where(F.col("dim") == dim).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-        after, most = None, max(1, BLOCK_VALUES // max(1, dim))
+        trees = materialize(placed.where(F.col("dim") == dim).groupBy("shard").applyInArrow(_planted(dim), "shard long, tree binary"), "trees")
+        queries, after, most = vectors.where((F.col("dim") == dim) & F.col("is_query")), -1, max(1, BLOCK_VALUES // max(1, dim))
         while True:
-            rest = queries.where(F.col("dim") == dim)
-            block = (rest if after is None else rest.where(F.col("place") > after)).orderBy("place").limit(most).select("vec_id", "v", "place").toArrow()
+            block = queries.where(F.col("place") > after).orderBy("place").limit(most).select("vec_id", "v", "place").toArrow()
             if not block.num_rows:
                 break
             after = block.column(2)[-1].as_py()
-            ids = block.column(0).to_numpy()
+            ids, places = block.column(0).to_numpy(), block.column(2).to_numpy()
             points = _stack(block.column(1).combine_chunks(), dim) if dim else np.empty((len(ids), 0))
-            homes = _run(placed, spark, (ids, points, None), dim, k, shards, home=True)
-            kth = homes.groupBy("query_id", "at").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).collect()  # at most a row for each query of the block
+            homes = _run(trees, spark, (ids, places, points, None), k, shards)
+            kth = homes.groupBy("at").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).collect()  # at most a row for each query of the block
             floor = np.full(len(ids), -np.inf)
             for r in kth:
                 floor[r["at"]] = r.kth
-            found = _run(placed, spark, (ids, points, floor), dim, k, shards, home=False)
+            found = _run(trees, spark, (ids, places, points, floor), k, shards)
             out = found if out is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id", "at").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _run(placed: DataFrame, spark, block: tuple, dim: int, k: int, shards: int, home: bool) -> DataFrame:
-    """Best candidates of each query of the block, from its home shard alone or from all shards at the floors given."""
+def _planted(dim: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    def plant(key: tuple, table: pa.Table) -> pa.Table:
+        ids, places = table.column("vec_id").to_numpy(), table.column("place").to_numpy()
+        points = _stack(table.column("v").combine_chunks(), dim) if dim else np.empty((len(ids), 0))
+        shard = Shard(build(points, np.arange(len(ids))), points, ids, places)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([pickle.dumps(shard)], pa.binary())})
+
+    return plant
+
+
+def _run(trees: DataFrame, spark: SparkSession, block: tuple, k: int, shards: int) -> DataFrame:
+    """Best candidates of each query of the block: from its home shard alone, or at the floors given from all shards of a task."""
     shared = spark.sparkContext.broadcast(block)
 
-    def one(key: tuple, table: pa.Table) -> pa.Table:
-        ids, points, floor = shared.value
-        own_ids = table.column("vec_id").to_numpy()
-        own = _stack(table.column("v").combine_chunks(), dim) if dim else np.empty((len(own_ids), 0))
-        tree = build(own, np.arange(len(own_ids)))
-        out: list[tuple[int, int, int, int]] = []
-        for at in range(len(ids)):
-            if home and at % shards != key[0].as_py():
-                continue
-            for score, i in search(tree, own, own_ids, points[at], ids[at], k, -math.inf if home else floor[at]):
-                out.append((int(ids[at]), at, i, min(max(score, -(2**63)), 2**63 - 1)))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "at", "vec_id", "score"), cols, strict=True)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, places, points, floor = shared.value
+        best: list[list[tuple[int, int]]] = [[] for _ in ids]
+        for batch in batches:
+            for number, tree in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shard = pickle.loads(tree.as_buffer())
+                for at in range(len(ids)) if floor is not None else range(number, len(ids), shards):
+                    search(shard, points[at], places[at], k, -math.inf if floor is None else floor[at], best[at])
+        rows = [(int(ids[at]), int(places[at]), at, -i, min(max(score, -(2**63)), 2**63 - 1)) for at, own in enumerate(best) for score, i in own]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "place", "at", "vec_id", "score"])
 
-    return placed.groupBy("shard").applyInArrow(one, "query_id long, at long, vec_id long, score long")
+    return trees.select("shard", "tree").mapInArrow(run, "query_id long, place long, at long, vec_id long, score long")
 
 
 def embedding_neighbours(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """Each query's k highest integer inner products; queries are rows whose vec_id is divisible by every."""
     vectors = whole_vectors(embeddings)
-    return top_k(vectors, vectors.where(F.col("vec_id") % every == 0), k)
+    return top_k(vectors, F.col("vec_id") % every == 0, k)
 
 
 NEIGHBOURS_SQL = f"""with v as (
-  select vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) as v from embeddings
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % {EVERY} = 0
-), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+  select q.r, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from v q join v c on q.r <> c.r where q.vec_id % {EVERY} = 0
+), r as (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s)
 select query_id, rank::integer as rank, vec_id, score from r where rank <= {K}"""
