@@ -69,3 +69,18 @@ def test_stream(spark, tmp_path, sf_dir):
     write_measured(stream(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == out.select("doc_id").distinct().count() == docs.where("doc_id < 100").count()
+
+
+def test_strict_input_and_pruning(spark, tmp_path, monkeypatch):
+    (tmp_path / "keep").mkdir()
+    (tmp_path / "gone" / "deep").mkdir(parents=True)
+    (tmp_path / "keep" / "a.txt").write_bytes(b"\xef\xbb\xbfone\r\ntwo")
+    (tmp_path / "gone" / "deep" / "b.txt").write_bytes(b"bad \xff")
+    monkeypatch.setenv("HOME", str(tmp_path))
+    good = readers.read_sources(spark, "~/keep/a.txt", strict=True).first()
+    assert (good.text, good.error) == ("one\ntwo", None)
+    bad = str(tmp_path / "gone" / "deep" / "b.txt")
+    assert readers.read_sources(spark, bad, strict=True).first().error.startswith("UnicodeDecodeError")
+    assert readers.read_sources(spark, bad).first().text == "bad \ufffd"
+    assert readers.read_input(spark, b"x\xff").first().warnings and readers.read_input(spark, b"x\xff", strict=True).first().text is None
+    assert [r.path.rsplit("/", 1)[1] for r in readers.read_tree(spark, str(tmp_path), ("gone",)).collect()] == ["a.txt"]

@@ -58,16 +58,33 @@ def lexical(docs: DataFrame) -> DataFrame:
     return rows.select("*", F.when(some, F.col("unique_tokens") / F.col("n_tokens")).alias("type_token_ratio"), F.when(some, F.col("unique_tokens") / F.sqrt(F.col("n_tokens").cast("double"))).alias("root_ttr"))
 
 
-def punctuation(docs: DataFrame) -> DataFrame:
-    t = F.col("t")
+PUNCTUATION = ("dashes", "semicolons", "colons", "parenthetical_pairs")
+
+
+def _punctuation(t: Column) -> list[Column]:
     count = lambda s: T.occurrences(t, F.lit(s))
-    return _cleaned(docs).select(
-        "doc_id",
-        T.count_all(t, r"—|–|(?<!-)--(?!-)").alias("dashes"),
-        (count(";") + count("；")).alias("semicolons"),
-        (count(":") + count("：")).alias("colons"),
-        (F.least(count("("), count(")")) + F.least(count("（"), count("）"))).alias("parenthetical_pairs"),
+    found = (
+        T.count_all(t, r"—|–|(?<!-)--(?!-)"),
+        count(";") + count("；"),
+        count(":") + count("："),
+        F.least(count("("), count(")")) + F.least(count("（"), count("）")),
     )
+    return [c.alias(name) for name, c in zip(PUNCTUATION, found, strict=True)]
+
+
+def punctuation(docs: DataFrame) -> DataFrame:
+    return _cleaned(docs).select("doc_id", *_punctuation(F.col("t")))
+
+
+def density(count: Column, tokens: Column) -> Column:
+    """A count for every thousand tokens, unrounded; 0 without tokens."""
+    return F.when(tokens > 0, count * 1000.0 / tokens).otherwise(0.0)
+
+
+def punctuation_per_thousand(docs: DataFrame) -> DataFrame:
+    n = F.size(T.tokens(F.col("t"))).cast("long").alias("n_tokens")
+    rows = _cleaned(docs).select("doc_id", n, *_punctuation(F.col("t")))
+    return rows.select("doc_id", "n_tokens", *(density(F.col(c), F.col("n_tokens")).alias(f"{c}_per_thousand") for c in PUNCTUATION))
 
 
 def _top(rows: DataFrame, first: str, k: int = MAX_ITEMS) -> DataFrame:
@@ -77,9 +94,18 @@ def _top(rows: DataFrame, first: str, k: int = MAX_ITEMS) -> DataFrame:
 
 def openings(docs: DataFrame) -> DataFrame:
     """Sentence openings that a document repeats: the most frequent ones, ties to the first seen, then those that come twice or more."""
+    return _openings(docs, T.all_sentences(F.col("t"), MIN_TOKENS), 4, 3)
+
+
+def paragraph_openings(docs: DataFrame) -> DataFrame:
+    """The same of paragraphs, one word wider."""
+    return _openings(docs, T.paragraphs(F.col("t"), MIN_TOKENS), 5, 4)
+
+
+def _openings(docs: DataFrame, parts: Column, zh_width: int, width: int) -> DataFrame:
     rows = _cleaned(docs).withColumn("zh", T.language(F.col("t")) == "zh")
-    rows = rows.select("doc_id", "zh", F.posexplode(T.all_sentences(F.col("t"), MIN_TOKENS)).alias("pos", "s"))
-    rows = rows.withColumn("w", F.transform(T.tokens(F.col("s")), F.lower)).withColumn("width", F.when(F.col("zh"), 4).otherwise(3))
+    rows = rows.select("doc_id", "zh", F.posexplode(parts).alias("pos", "s"))
+    rows = rows.withColumn("w", F.transform(T.tokens(F.col("s")), F.lower)).withColumn("width", F.when(F.col("zh"), zh_width).otherwise(width))
     rows = rows.where(F.size("w") >= F.greatest(F.col("width") + 2, F.lit(5)))
     opening = F.array_join(F.slice("w", F.lit(1), F.col("width")), "\x01")
     rows = rows.select("doc_id", "pos", "s", F.when(F.col("zh"), F.translate(opening, "\x01", "")).otherwise(F.translate(opening, "\x01", " ")).alias("opening"))

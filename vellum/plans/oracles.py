@@ -291,16 +291,22 @@ def _rules(pairs) -> dict[str, str]:
     hints = " or ".join(f"contains(lower(title), {q(h)})" for h in P.CONCLUSION)
     cosine = f"ax as (select doc_id, arg_min(body, pos) filter (key = 'abstract') as p, arg_max(body, pos) filter ({hints}) as r from sa group by 1), ay as (select * from ax where p is not null and r is not null), {_gram_counts('ay', 'doc_id', ('p', 'r'))}, ac as (select doc_id, round(sum(nb * na)::bigint / (sqrt(sum(nb * nb)::double) * sqrt(sum(na * na)::double)), 4) as cosine from gc group by 1)"
     fail = _codes([("before_units > 0 and after_units / before_units < 0.65", "G02_OVERALL_RETENTION"), ("low > 0", "G03_SECTION_RETENTION"), ("missing > 0", "G04_MISSING_HEADINGS")])
-    review = _codes([
-        (f"{residue} > 0", "W01_EDITORIAL_RESIDUE"), (f"{places} >= 5", "W02_REPEATED_SOURCE_PLACEHOLDER"), ("body_n >= 8 and cv < 0.22", "W03_HOMOGENISED_SECTION_ARCHITECTURE"),
+    ready = _codes([
+        ("after_units < 300", "G01_MIN_OUTPUT_UNITS"), ("before_units > 0 and after_units / before_units < 0.65", "G02_OVERALL_RETENTION"), ("low > 0", "G03_SECTION_RETENTION"), ("missing > 0", "G04_MISSING_HEADINGS"),
+        (f"{residue} > 0", "G05_EDITORIAL_RESIDUE"), (f"{places} > 0", "G06_SOURCE_PLACEHOLDERS"),
+    ])
+    shape = [
+        ("body_n >= 8 and cv < 0.22", "W03_HOMOGENISED_SECTION_ARCHITECTURE"),
         ("sections >= 8 and ((common_count / sections >= 0.5 and common_profile <> 'none') or (claim_boundary / sections >= 0.75 and cv < 0.25))", "W04_REPEATED_RHETORICAL_PROFILE"), ("sentences >= 40 and either / sentences >= 0.35", "W05_BOUNDARY_RECOMMENDATION_SATURATION"),
         ("cosine >= 0.5", "W06_ABSTRACT_CONCLUSION_OVERLAP"), ("added > 0", "W07_ADDED_HEADINGS"),
-    ])
+    ]
+    review, beyond = _codes([(f"{residue} > 0", "W01_EDITORIAL_RESIDUE"), (f"{places} >= 5", "W02_REPEATED_SOURCE_PLACEHOLDER"), *shape]), _codes(shape)
     tables = " ".join(f"left join {t} using (doc_id)" for t in ("facts", "lr", "hc", "pz", "ar", "an", "ac"))
     return {
         "texture_signals": pairs(_rollup(), f"select *, {STATUS} from (select doc_id, {_codes(warn)} as warnings, '' as failures from rg)"),
         "texture_signals_strict": pairs(_rollup(), f"select *, {STATUS} from (select doc_id, {_codes(warn)} as warnings, {strict} as failures from rg)"),
         "meta_voice": pairs(_texture(), _meta_rows()),
+        "gate_findings_ready": pairs(f"{prof}, {versions}, {low}, {changes}, {modes}, {arch}, {cosine}", f"select *, {STATUS} from (select m.doc_id, {ready} as failures, {beyond} as warnings from m {tables})"),
         "gate_findings": pairs(f"{prof}, {versions}, {low}, {changes}, {modes}, {arch}, {cosine}", f"select *, {STATUS} from (select m.doc_id, {fail} as failures, {review} as warnings from m {tables})"),
     }
 
@@ -329,6 +335,11 @@ e as (select *, {', '.join(f"coalesce(list_sum({c}), 0)::bigint as {c}_sum, coal
 select doc_id, {_describe('sentence')}, {_describe('paragraph')} from e"""),
         "lexical_diversity": with_docs(f"select doc_id, n as n_tokens, u as unique_tokens, case when n > 0 then u / n end as type_token_ratio, case when n > 0 then u / sqrt(n::double) end as root_ttr from (select doc_id, len(k) as n, len(list_distinct(k)) as u from (select doc_id, list_transform({tokens('t')}, lambda x: lower(x)) as k from c))"),
         "punctuation_density": with_docs(f"select doc_id, ({dash})::bigint as dashes, {_count('t', ';')} + {_count('t', '；')} as semicolons, {_count('t', ':')} + {_count('t', '：')} as colons, least({_count('t', '(')}, {_count('t', ')')}) + least({_count('t', '（')}, {_count('t', '）')}) as parenthetical_pairs from c"),
+        "punctuation_per_thousand": with_docs(f", pt as (select doc_id, len({tokens('t')}) as n, {dash} as dashes, {_count('t', ';')} + {_count('t', '；')} as semicolons, {_count('t', ':')} + {_count('t', '：')} as colons, least({_count('t', '(')}, {_count('t', ')')}) + least({_count('t', '（')}, {_count('t', '）')}) as parenthetical_pairs from c) select doc_id, n as n_tokens, " + ", ".join(f"case when n > 0 then {k} * 1000.0::double / n else 0.0 end as {k}_per_thousand" for k in ("dashes", "semicolons", "colons", "parenthetical_pairs")) + " from pt"),
+        "paragraph_openings": f"""with {MANUSCRIPTS_SQL}, {DOCS.replace('text', 'before').replace('from documents', 'from m')}, s as (select doc_id, lang, unnest(l) as s, generate_subscripts(l, 1) as pos from (select doc_id, lang, {paragraphs('t', 4)} as l from cl)),
+o as (select doc_id, pos, s, case when lang = 'zh' then array_to_string(w[1:n], '') else array_to_string(w[1:n], ' ') end as opening from (select *, list_transform({tokens('s')}, lambda x: lower(x)) as w, case when lang = 'zh' then 5 else 4 end as n from s) where len(w) >= greatest(n + 2, 5)),
+g as (select doc_id, opening, count(*) as n, min(pos) as pos, arg_min(s, pos) as s from o group by 1, 2)
+select doc_id, opening, n, substr(s, 1, 180) as example from (select *, row_number() over (partition by doc_id order by n desc, pos) as rank from g) where rank <= 10 and n >= 2""",
         "sentence_openings": with_docs(f""", s as (select doc_id, lang, unnest(l) as s, generate_subscripts(l, 1) as pos from (select doc_id, lang, {all_sentences('t', 4)} as l from cl)),
 o as (select doc_id, pos, s, case when lang = 'zh' then array_to_string(w[1:n], '') else array_to_string(w[1:n], ' ') end as opening from (select *, list_transform({tokens('s')}, lambda x: lower(x)) as w, case when lang = 'zh' then 4 else 3 end as n from s) where len(w) >= greatest(n + 2, 5)),
 g as (select doc_id, opening, count(*) as n, min(pos) as pos, arg_min(s, pos) as s from o group by 1, 2)

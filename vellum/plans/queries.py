@@ -47,7 +47,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "length_variation": _on(_documents, style.describe),
         "lexical_diversity": _on(_documents, style.lexical),
         "punctuation_density": _on(_documents, style.punctuation),
+        "punctuation_per_thousand": _on(_documents, style.punctuation_per_thousand),
         "sentence_openings": _on(_documents, style.openings),
+        "paragraph_openings": _on(_before, style.paragraph_openings),
         "repeated_trigrams": _on(_documents, style.trigrams),
         "stock_phrases": _on(_before, style.stock_phrases),
         "transition_hedge_booster": _on(_before, style.term_counts),
@@ -79,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "editorial_residue": _on(_pairs, gate.residue),
         "source_placeholders": _on(_pairs, gate.placeholders),
         "gate_findings": _on(_pairs, gate.findings),
+        "gate_findings_ready": _on(_pairs, lambda p: gate.findings(p, gate.Limits(min_output_units=300, publication_ready=True))),
         "paragraph_geometry": _on(_pairs, lambda p: texture.rollup(p, "after")),
         "corrective_negation": _on(_pairs, lambda p: texture.corrective(p, "after")),
         "section_closures": _on(_pairs, lambda p: texture.closures(p, "after")),

@@ -10,6 +10,7 @@ import os
 import re
 import shutil
 import subprocess
+import sys
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -27,11 +28,13 @@ BAD_BYTES = "The file is not valid UTF-8; undecodable bytes were replaced."
 EMPTY_PDF = "The PDF has no extractable text; no optical character recognition is done."
 
 
-def decode(raw: bytes) -> tuple[str, list[str]]:
-    """UTF-8 without its byte order mark; bad bytes are replaced, with a warning, and the mark then stays."""
+def decode(raw: bytes, strict: bool = False) -> tuple[str, list[str]]:
+    """UTF-8 without its byte order mark; bad bytes are an error if strict, else replaced, with a warning, and the mark then stays."""
     try:
         text, warnings = raw.decode("utf-8-sig"), []
     except UnicodeDecodeError:
+        if strict:
+            raise
         text, warnings = raw.decode("utf-8", "replace"), [BAD_BYTES]
     return re.sub(r"\r\n?", "\n", text), warnings
 
@@ -56,7 +59,7 @@ def pdf_text(raw: bytes) -> tuple[str, list[str]]:
     return text, [] if text.strip() else [EMPTY_PDF]
 
 
-def _read(path: str, raw: bytes) -> tuple:
+def _read(path: str, raw: bytes, strict: bool = False) -> tuple:
     suffix = os.path.splitext(path)[1].lower() or ".txt"
     try:
         if suffix == ".docx":
@@ -64,18 +67,25 @@ def _read(path: str, raw: bytes) -> tuple:
         if suffix == ".pdf":
             text, warnings = pdf_text(raw)
             return path, text, suffix, "pdf", warnings, None
-        text, warnings = decode(raw)
+        text, warnings = decode(raw, strict)
         return path, text, suffix, "text", warnings, None
     except Exception as e:  # one bad file is a row, not the end of the job
         return path, None, suffix, suffix[1:], [], f"{type(e).__name__}: {e}"
 
 
-def read_sources(spark: SparkSession, *paths: str) -> DataFrame:
-    """One row per file: path, text, suffix, source_kind, warnings, error."""
+def read_input(spark: SparkSession, raw: bytes | None = None, strict: bool = False) -> DataFrame:
+    """What read_sources gives, of the driver's standard input or of bytes read from it, under the path -."""
+    raw = sys.stdin.buffer.read() if raw is None else raw
+    return spark.createDataFrame([_read("-", raw, strict)], SCHEMA)
+
+
+def read_sources(spark: SparkSession, *paths: str, strict: bool = False) -> DataFrame:
+    """One row per file: path, text, suffix, source_kind, warnings, error; ~ is the driver's home, and strict makes bytes that aren't UTF-8 an error."""
+    paths = [os.path.expanduser(p) for p in paths]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([_read(p, bytes(c)) for p, c in zip(batch["path"], batch["content"])], columns=["path", "text", "suffix", "source_kind", "warnings", "error"])
+            yield pd.DataFrame([_read(p, bytes(c), strict) for p, c in zip(batch["path"], batch["content"])], columns=["path", "text", "suffix", "source_kind", "warnings", "error"])
 
     return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, SCHEMA)
 
@@ -101,9 +111,11 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.posexplode("l").alias("pos", "line"))
 
 
-def read_tree(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, text (null where the bytes aren't UTF-8) of every file below a folder."""
+def read_tree(spark: SparkSession, path: str, pruned: tuple[str, ...] = ()) -> DataFrame:
+    """path, length, text (null where the bytes aren't UTF-8) of every file below a folder, but for what stands below folders of the pruned names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    for name in pruned:
+        files = files.where(~F.contains("path", F.lit(f"/{name}/")))
     return files.select("path", "length", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
 
 

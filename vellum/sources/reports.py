@@ -9,8 +9,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-# What a report may claim.
-RULES = ("Differences are review signals, not proof that the revised text is semantically wrong.",)
+#: What a report may claim.
+RULES = ("What differs is for a person to look at; equal counts don't show that two texts say the same, nor different ones that they don't.",)
 
 
 def python_round(value: float | None, places: int) -> float | None:
