@@ -12,8 +12,10 @@ revisits to the responses they name.
 Defined cases: a null html is an empty payload; equal payloads under one
 page_id that is the largest are responses each; rows with a null page_id are
 written, and revisit others, but are never revisited; null URLs are written as
-``urn:none``; repeated rows are records each; an empty table gives an archive
-without records; other columns play no part.
+``urn:none``; repeated rows are records each; a payload may be as long as a text
+can be and is read back by itself, in parts; of equal payloads the largest
+page_id decides, so there are no ties; an empty table gives an archive without
+records; other columns play no part.
 """
 
 from __future__ import annotations
@@ -61,13 +63,15 @@ def _record() -> Column:
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(_HTTP), F.col("size").cast("string"), F.lit(2 * _CRLF))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
-    named = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    # what others refer to is named by its page; all else, repeated rows too, by its page and a number of its own
+    number = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    named = F.when(F.col("page_id") == F.col("original"), number).otherwise(F.concat(number, F.lit(":"), F.expr("uuid()")))
     head = [
         F.lit("WARC/1.0"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit(f"WARC-Record-ID: <{_PREFIX}"), named, F.lit(">")),
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
-        F.lit("WARC-Date: 2024-01-01T00:00:00Z"),
+        F.concat(F.lit("WARC-Date: "), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.when(revisit, F.concat(F.lit(f"WARC-Refers-To: <{_PREFIX}"), F.col("refers_to").cast("string"), F.lit(f">{_CRLF}WARC-Profile: {_PROFILE}"))),
         F.lit("Content-Type: application/http; msgtype=response"),
@@ -131,7 +135,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type, refers_to, payload_digest, payload_bytes of each record; a response's are taken from its payload, a revisit's are null bytes until resolved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda x: None if x in (None, f"<{_PREFIX}null>") else int(x[len(_PREFIX) + 1 : -1])
+        number = lambda x: None if x is None or x.startswith(f"<{_PREFIX}null:") else int(x[len(_PREFIX) + 1 : -1].split(":")[0])
         for batch in batches:
             for raw in batch.column(0):
                 out: list[list] = [[], [], [], [], []]
