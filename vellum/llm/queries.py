@@ -14,10 +14,11 @@ from vellum.llm.ngram_join import ngram_components
 from vellum.llm.packing import pack_documents
 from vellum.llm.passages import repeated_passages
 from vellum.llm.toxicity import toxicity_scores
+from vellum.sources.tables import read_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def word_tokenizer() -> str:
