@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from vellum.llm.workspace import discard, materialize, sized
 
 SHINGLE = 5
+#: 64-bit words of a line's bitmap.
+WORDS = 4
 #: Counters of the rarity sketch.
 SKETCH = 1 << 16
 #: Rows of a few longs that are broadcast at most; of one long, twice as many.
@@ -84,9 +86,9 @@ def _ordered(tokens: Column, classes: bytes) -> Column:
 
 
 def _bits(tokens: Column, word: int) -> Column:
-    """One word of a bitmap of 128 bits, in which each token sets one."""
+    """One word of a bitmap of 256 bits, in which each token sets one."""
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 7).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: F.when(F.shiftright(t, 13).bitwiseAND(F.lit(1)) == word, a.bitwiseOR(bit(t))).otherwise(a))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: F.when(F.shiftright(t, 13).bitwiseAND(F.lit(WORDS - 1)) == word, a.bitwiseOR(bit(t))).otherwise(a))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -112,19 +114,20 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     held = docs.withColumn("d", F.coalesce("doc_id", F.lit(_LAST))).withColumn("h", F.xxhash64("text")).join(owners, ["d", "h"], "left_semi").select("doc_id", "text")
     tokens = line_rows(held).join(wanted, ["d", "h", "line"]).select("id", "d", "h", "line", _content_tokens().alias("tokens")).dropDuplicates(["id"])
     tokens = materialize(tokens, "tokens")
-    sigs = materialize(tokens.select("id", F.struct("d", "h", "line").alias("first"), "tokens", _bits(F.col("tokens"), 0).alias("s0"), _bits(F.col("tokens"), 1).alias("s1")), "signed")
+    bits = [f"s{i}" for i in range(WORDS)]
+    sigs = materialize(tokens.select("id", F.struct("d", "h", "line").alias("first"), "tokens", *(_bits(F.col("tokens"), i).alias(s) for i, s in enumerate(bits))), "signed")
     discard(tokens)
 
     rows = materialize(near.join(sigs.drop("tokens"), "id"), "rows")
-    lead = rows.groupBy("key").agg(F.min(F.struct("first", "id", "n", "s0", "s1")).alias("x")).select("key", F.col("x.id").alias("b"), F.col("x.n").alias("n_b"), F.col("x.s0").alias("s0_b"), F.col("x.s1").alias("s1_b"))
-    stars = rows.join(lead, "key").where((F.col("id") != F.col("b")) & _fits(F.col("n"), F.col("n_b"), [F.col("s0"), F.col("s1")], [F.col("s0_b"), F.col("s1_b")])).select(F.col("id").alias("a"), "b").distinct()
+    of = lambda x: [F.col(f"{s}{x}") for s in bits]
+    lead = rows.groupBy("key").agg(F.min(F.struct("first", "id", "n", *bits)).alias("x")).select("key", F.col("x.id").alias("b"), *(F.col(f"x.{c}").alias(f"{c}_b") for c in ("n", *bits)))
+    stars = rows.join(lead, "key").where((F.col("id") != F.col("b")) & _fits(F.col("n"), F.col("n_b"), of(""), of("_b"))).select(F.col("id").alias("a"), "b").distinct()
     links = _verified(stars, sigs)
     left = rows.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
-    later = left.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "first", "n", "at", "s0", "s1")))
-    earlier = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "first", "n", "at", "s0", "s1")))
+    later, earlier = (part.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "first", "n", "at", *bits))) for x, part in (("a", left), ("b", rows)))
     both = F.col("n_a") + F.col("n_b")
     room = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1) + F.least("at_a", "at_b")
-    fits = (F.col("first_b") < F.col("first_a")) & _fits(F.col("n_a"), F.col("n_b"), [F.col("s0_a"), F.col("s1_a")], [F.col("s0_b"), F.col("s1_b")]) & (7 * room >= 3 * both)
+    fits = (F.col("first_b") < F.col("first_a")) & _fits(F.col("n_a"), F.col("n_b"), of("_a"), of("_b")) & (7 * room >= 3 * both)
     rest = later.join(earlier, "key").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     gone = materialize(links.select("a").union(_verified(rest, sigs).select("a")).distinct(), "gone")
 
