@@ -74,3 +74,14 @@ def test_scores_by_brute_force():
                     best = np.maximum(best, sum(x[p + j] @ m.filters[w][j] for j in range(w)) + m.bias[w])
                 feats.append(best)
             assert abs(np.concatenate(feats) @ m.out + m.out_bias - got[i]) < 1e-3
+
+
+def test_long_text_in_parts(monkeypatch):
+    """Scores don't depend on how many words are scored at once."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["bad", "good", "so", "so", "x%d" % rng.randrange(99)]) for _ in range(n)) for n in (3, 700, 1, 2500, 90)]
+    model = fit([f"bad {i} words" for i in range(30)] + [f"good {i} words" for i in range(30)], [1] * 30 + [0] * 30)
+    chunk = next(wordhash.chunks(pa.array(texts)))
+    whole = model.logits(chunk)
+    monkeypatch.setattr("vellum.llm.toxicity.PART", 64)
+    assert np.allclose(model.logits(chunk), whole, atol=1e-5)

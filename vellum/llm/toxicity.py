@@ -10,7 +10,8 @@ language's threshold stands at ``DECISION``.
 
 Labels, language, source and id columns are never inputs of a score.  The
 model is fitted on at most ``TRAIN_ROWS`` labelled rows (half of each class,
-chosen by a hash of the id); every text is scored whole.
+chosen by a hash of the id) with texts of at most ``TRAIN_BYTES`` bytes; every
+text is scored whole, a very long one in parts of bounded size.
 
 Defined cases: null and blank texts are scored as texts without words; without
 labels of both classes every score is 0; a document labelled twice counts as
@@ -33,11 +34,15 @@ from vellum.llm import wordhash
 from vellum.llm.workspace import bounded_batches
 
 TRAIN_ROWS = 6000
+#: Labelled texts of more bytes aren't learnt from, so that what the driver gathers is bounded.
+TRAIN_BYTES = 1 << 16
 DECISION = 0.7
 _ROWS, _DIM = 1 << 16, 8
 _PREFIXES = (4, 5, 6)
 _TABLES = 2 + len(_PREFIXES)
 WIDTHS, FILTERS = (1, 2, 3), 8
+#: Words whose responses are held at once.
+PART = 16384
 EPOCHS, BATCH, RATE = 8, 48, 0.08
 _U = np.uint64
 #: Function words by which a text's language is guessed.
@@ -133,9 +138,13 @@ class Model:
         out = np.empty((c.rows, len(WIDTHS) * FILTERS), np.float32)
         rows, row = word_rows(c), 0
         while row < c.rows:  # some rows at a time: responses take many bytes a word
-            last = max(row + 1, int(np.searchsorted(c.word_at, c.word_at[row] + 16384, side="right")) - 1)
+            last = max(row + 1, int(np.searchsorted(c.word_at, c.word_at[row] + PART, side="right")) - 1)
             lo, hi = c.word_at[row], c.word_at[last]
-            out[row:last] = self.pooled(rows[lo:hi], c.word_at[row : last + 1] - lo)
+            if hi - lo > PART:  # one long text: its parts overlap by a window less a word
+                parts = (rows[p : min(hi, p + PART + max(WIDTHS) - 1)] for p in range(lo, hi, PART))
+                out[row] = np.max([self.pooled(x, np.array([0, len(x)]))[0] for x in parts], axis=0)
+            else:
+                out[row:last] = self.pooled(rows[lo:hi], c.word_at[row : last + 1] - lo)
             row = last
         return out @ self.out + self.out_bias
 
@@ -262,6 +271,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     order = F.xxhash64("doc_id")
     chosen = known.where("toxic = 0").orderBy(order, "doc_id").limit(TRAIN_ROWS // 2).union(known.where("toxic = 1").orderBy(order, "doc_id").limit(TRAIN_ROWS // 2))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most TRAIN_ROWS ids
+    rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
     found = rows.withColumn("o", order).orderBy("o", "doc_id", "text").limit(TRAIN_ROWS).select("text", "toxic").collect()
     return fit([r.text for r in found], [r.toxic for r in found])
 
