@@ -60,3 +60,10 @@ def test_clashing_columns(spark):
     out = dedup_lines(df)
     assert out.columns == ["doc_id", "text", *(n for n in names if n != "removed_lines"), "removed_lines"]
     assert sorted((r.doc_id, r.text, r.removed_lines, r["__gone"], r["a b.c"]) for r in out.collect()) == [(1, "one two", [1], 2, 10), (2, "", [0], 2, 10)]
+
+
+def test_frequent_tokens(spark, sf_dir, monkeypatch):
+    """With every token that three classes share taken for frequent, the same lines go."""
+    monkeypatch.setattr("vellum.llm.line_dedup.CROWD", 3)
+    test_against_brute_force(spark, sf_dir)
+    test_edges(spark)

@@ -10,7 +10,9 @@ any earlier one is that similar.
 
 Who goes needs one earlier partner, not all: classes first meet the earliest
 class of each shared token, and only those not settled that way meet the rest
-of their tokens' classes, so a large group isn't compared pair by pair.
+of their tokens' classes, so a large group isn't compared pair by pair.  Classes
+of frequent tokens carry all their shared ones, and meet at the first they have
+in common only.
 
 Tokens are compared by 63-bit hashes.
 
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 from vellum.llm.workspace import discard, materialize, sized
 
 SHINGLE = 5
+#: Classes from which on a token is frequent.
+CROWD = 64
 #: 64-bit words of a line's bitmap.
-WORDS = 4
+WORDS = 8
 #: Counters of the rarity sketch.
 SKETCH = 1 << 16
 #: Rows of a few longs that are broadcast at most; of one long, twice as many.
@@ -86,7 +90,7 @@ def _ordered(tokens: Column, classes: bytes) -> Column:
 
 
 def _bits(tokens: Column, word: int) -> Column:
-    """One word of a bitmap of 256 bits, in which each token sets one."""
+    """One word of a bitmap of 512 bits, in which each token sets one."""
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 7).bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: F.when(F.shiftright(t, 13).bitwiseAND(F.lit(WORDS - 1)) == word, a.bitwiseOR(bit(t))).otherwise(a))
 
@@ -123,11 +127,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lead = rows.groupBy("key").agg(F.min(F.struct("first", "id", "n", *bits)).alias("x")).select("key", F.col("x.id").alias("b"), *(F.col(f"x.{c}").alias(f"{c}_b") for c in ("n", *bits)))
     stars = rows.join(lead, "key").where((F.col("id") != F.col("b")) & _fits(F.col("n"), F.col("n_b"), of(""), of("_b"))).select(F.col("id").alias("a"), "b").distinct()
     links = _verified(stars, sigs)
+    rows = _with_common(rows, near)
     left = rows.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
-    later, earlier = (part.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "first", "n", "at", *bits))) for x, part in (("a", left), ("b", rows)))
+    later, earlier = (part.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "first", "n", "at", "common", *bits))) for x, part in (("a", left), ("b", rows)))
     both = F.col("n_a") + F.col("n_b")
     room = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1) + F.least("at_a", "at_b")
     fits = (F.col("first_b") < F.col("first_a")) & _fits(F.col("n_a"), F.col("n_b"), of("_a"), of("_b")) & (7 * room >= 3 * both)
+    fits = fits & (F.col("common_a").isNull() | (F.array_min(F.array_intersect("common_a", "common_b")) == F.col("key")))
     rest = later.join(earlier, "key").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     gone = materialize(links.select("a").union(_verified(rest, sigs).select("a")).distinct(), "gone")
 
@@ -137,6 +143,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return sets.select("id", "d", "h", "line").join(fate, "id").where(F.col("gone") | (F.struct("d", "h", "line") != F.col("first"))).select("d", "h", "line")
 
 
+def _with_common(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """rows with common: all shared tokens of a class where the row's own is frequent, else null."""
+    crowds = sized(materialize(near.groupBy("key").count().where(F.col("count") >= CROWD).select("key"), "crowds"), KEYS)
+    hot = rows.join(crowds, "key", "left_semi")
+    ids = sized(materialize(hot.select("id").distinct(), "crowd_ids"), KEYS)
+    every = near.join(ids, "id", "left_semi").groupBy("id").agg(F.collect_list("key").alias("common"))
+    cold = rows.join(crowds, "key", "left_anti").withColumn("common", F.lit(None).cast("array<long>"))
+    return materialize(cold.unionByName(hot.join(every, "id")), "rows")
+
+
 def _fits(na: Column, nb: Column, sa: list[Column], sb: list[Column]) -> Column:
     """Length filter, and the bound that bits which differ set on the overlap."""
     apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(sa, sb, strict=True)), F.lit(0))
