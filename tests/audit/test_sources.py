@@ -3,7 +3,7 @@ import json
 import zipfile
 
 from vellum.operators import lock
-from vellum.sources import readers, reports
+from vellum.sources import readers, reports, tables
 from vellum.streaming.audit import write_measured
 
 
@@ -84,3 +84,14 @@ def test_strict_input_and_pruning(spark, tmp_path, monkeypatch):
     assert readers.read_sources(spark, bad).first().text == "bad \ufffd"
     assert readers.read_input(spark, b"x\xff").first().warnings and readers.read_input(spark, b"x\xff", strict=True).first().text is None
     assert [r.path.rsplit("/", 1)[1] for r in readers.read_tree(spark, str(tmp_path), ("gone",)).collect()] == ["a.txt"]
+
+
+def test_small_tables_are_dealt_out(spark, sf_dir):
+    path, split = f"{sf_dir}/documents.parquet", "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(split)
+    try:
+        assert tables.read_table(spark, path, "doc_id", "text").rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+        spark.conf.set(split, "1k")
+        assert "RoundRobin" not in tables.read_table(spark, path)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set(split, before)
