@@ -62,3 +62,15 @@ def test_branches(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert [r.conv_id for r in chat.conversation_digests(df).collect()] == [-1]
+
+
+def test_long_texts_and_other_columns(spark):
+    """Texts of a million characters, and columns named as those used inside."""
+    long = "<s> é\\" * 200_000
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", long), (2, 0, "assistant", "")]
+    names = ("tree", "msg", "parent", "score", "formatted", "rank", "leaf", "pos")
+    df = spark.createDataFrame([(*r, *[7] * len(names)) for r in rows], "conv_id long, turn long, role string, text string, " + ", ".join(f"`{n}` int" for n in names))
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert sorted(map(tuple, chat.conversation_digests(df).collect())) == sorted(con.sql(chat.READ_BACK_SQL).fetchall())

@@ -12,8 +12,9 @@ its first character, which ``unescape`` undoes.
 Defined cases: null roles and texts are empty, null scores 0; rows of a tree
 with the same turn are ordered by role and text; repeated rows are turns each;
 messages whose parent is missing are roots; messages that hang on a cycle have
-no root and are left out; rows with a null tree id are one tree; empty tables
-give no rows; other columns play no part.
+no root and are left out; rows with a null tree id are one tree; texts of any
+length are formatted whole, and a conversation is held by one task; empty tables
+give no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ Spans are leftmost and don't overlap within a kind; they are code points with
 an exclusive end.
 
 Defined cases: a null or empty text has no spans; repeated rows and repeated
-ids each give their own row; a null doc_id is scanned and kept; an empty table
-gives no rows; texts are never cut; other columns play no part.
+ids each give their own row; a null doc_id is scanned and kept; spans that begin
+at one place are in the order of the rules; an empty table gives no rows; very
+long texts are scanned whole; other columns play no part.
 """
 
 from __future__ import annotations
