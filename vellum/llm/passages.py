@@ -256,7 +256,7 @@ def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     clash = sized(materialize(kinds.where("lo <> hi").select("doc_id", F.lit(True).alias("clash")), "clashes"))
     hashed = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(_HASHED - 1)).bitwiseOR(F.lit(_HASHED))
     docs = docs.join(clash, "doc_id", "left").select("doc_id", "text", F.when(F.col("doc_id").isNull() | F.col("clash"), hashed).otherwise(F.col("doc_id")).alias("row"))
-    return docs, docs.where(F.col("row") >= _HASHED).select("row", "doc_id").distinct()
+    return docs, materialize(docs.where(F.col("row") >= _HASHED).select("row", "doc_id").distinct(), "names")
 
 
 def _first_of(keyed: DataFrame, *place: str) -> DataFrame:
@@ -443,7 +443,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_within: i
     out = out.join(sized(materialize(least, "least")), "label")
     for column, to in (("row", "doc_id"), ("cluster", "cluster_id")):
         known = names.select(F.col("row").alias(column), F.col("doc_id").alias("real"))
-        out = out.join(sized(materialize(known, "names")), column, "left").withColumn(to, F.when(F.col(column) < _HASHED, F.col(column)).otherwise(F.col("real"))).drop("real")
+        out = out.join(sized(known), column, "left").withColumn(to, F.when(F.col(column) < _HASHED, F.col(column)).otherwise(F.col("real"))).drop("real")
     return out.select("doc_id", F.col("start").alias("first_word"), (F.col("past") - F.col("start")).alias("n_words"), "repeated_words", "removed_words", "cluster_id")
 
 
