@@ -59,6 +59,12 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(F.when(F.rlike(text, F.lit(r"[^\x00-\x7f]")), text)), text)
 
 
+def char_grams(text: Column, n: int) -> Column:
+    """All n characters in a row; from an array of them, as a substring would count from the text's start each time."""
+    none = F.array().cast("array<string>")
+    return let(F.split(text, ""), lambda c: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))).otherwise(none))
+
+
 def tokens(text: Column) -> Column:
     return find_all(text, TOKEN)
 

@@ -39,8 +39,7 @@ def document_facts(pairs: DataFrame, suffix: str = ".md") -> DataFrame:
 def grams(body: Column, lang: Column) -> Column:
     """Content grams of a section: CJK pairs and triples, or content words and pairs of them."""
     low, none = F.lower(T.squeeze(body)), F.array().cast("array<string>")
-    chars = lambda t, n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))).otherwise(none)
-    zh = T.let(F.array_join(T.find_all(low, T.CJK), ""), lambda t: F.filter(F.concat(chars(t, 2), chars(t, 3)), lambda g: ~g.rlike(rf"^[{P.ZH_VECTOR_FUNCTION}]+$")))
+    zh = T.let(F.array_join(T.find_all(low, T.CJK), ""), lambda t: F.filter(F.concat(T.char_grams(t, 2), T.char_grams(t, 3)), lambda g: ~g.rlike(rf"^[{P.ZH_VECTOR_FUNCTION}]+$")))
     content = F.filter(T.words(low), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(P.VECTOR_STOPWORDS)))
     pairs = lambda w: F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.array_join(F.slice(w, i, 2), " "))).otherwise(none)
     return F.when(lang == "zh", zh).otherwise(T.let(content, lambda w: F.concat(w, pairs(w))))

@@ -72,7 +72,7 @@ def lengths(pairs: DataFrame) -> DataFrame:
 def _grams(text: Column, char: Column) -> Column:
     low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     none = F.array().cast("array<string>")
-    by_char = T.let(T.sub(low, r"(?U)[\s\W_]+", ""), lambda t: F.when(F.length(t) >= 6, F.transform(F.sequence(F.lit(1), F.length(t) - 5), lambda i: F.substring(t, i, F.lit(6)))).otherwise(none))
+    by_char = T.let(T.sub(low, r"(?U)[\s\W_]+", ""), lambda t: T.char_grams(t, 6))
     words = T.find_all(low, r"[a-z]+(?:[-'][a-z]+)*|\p{Nd}+(?:\.\p{Nd}+)?")
     by_word = T.let(words, lambda w: F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.array_join(F.slice(w, i, 5), " "))).otherwise(none))
     return F.array_distinct(F.when(char, by_char).otherwise(by_word))

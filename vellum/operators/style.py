@@ -128,9 +128,11 @@ def cjk_phrases(docs: DataFrame) -> DataFrame:
     """Repeated phrases of 4 to 10 CJK characters, longer ones first at equal counts, none inside a chosen one with as many."""
     compact = F.array_join(T.find_all(F.col("t"), T.CJK), "")
     rows = _cleaned(docs).where(T.language(F.col("t")) == "zh").select("doc_id", compact.alias("c"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(4), F.lit(10)), lambda n: F.when(F.length("c") >= n, F.transform(F.sequence(F.lit(1), F.length("c") - n + 1), lambda i: F.substring("c", i, n))).otherwise(F.array().cast("array<string>"))))
+    grams = F.transform(F.sequence(F.lit(1), F.size("chars") - F.col("k") + 1), lambda i: F.array_join(F.slice("chars", i, F.col("k")), ""))
     edge = rf"^[{P.ZH_FUNCTION}]|[{P.ZH_FUNCTION}]$"
-    counted = rows.select("doc_id", F.explode(grams).alias("g")).where(~F.col("g").rlike(edge)).groupBy("doc_id", "g").agg(F.count("*").alias("n")).where("n >= 3")
+    # one length at a time, so no row holds the grams of all
+    sized = rows.select("doc_id", F.split("c", "").alias("chars"), F.explode(F.sequence(F.lit(4), F.lit(10))).alias("k")).where("size(chars) >= k")
+    counted = sized.select("doc_id", F.explode(grams).alias("g")).where(~F.col("g").rlike(edge)).groupBy("doc_id", "g").agg(F.count("*").alias("n")).where("n >= 3")
     order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), (-F.length("g")).alias("l"), "g")))
 
     def choose(chosen: Column, x: Column) -> Column:
