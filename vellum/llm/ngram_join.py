@@ -71,13 +71,15 @@ def rarity(docs: DataFrame) -> np.ndarray:
     parts, left = texts.mapInArrow(count, schema), texts.rdd.getNumPartitions()
     for _ in range(max(1, math.ceil(math.log(max(left, 2), _FAN)))):  # a tree: no task adds up more than _FAN parts of 512 KB
         parts = parts.groupBy("block", F.floor(F.col("part") / _FAN).alias("fan")).applyInArrow(add, schema)
-    total = np.zeros((_BLOCKS, size // _BLOCKS))
+    total = np.zeros((_BLOCKS, size // _BLOCKS), np.uint64)
     for row in parts.collect():  # _BLOCKS rows
-        total[row.block] += _unpacked(row.counts)
-    total = total.reshape(-1)
-    mean = total.mean()
-    excess = (total - mean) / (6 * np.sqrt(mean) + 8)
-    return np.clip(np.floor(np.log2(np.maximum(excess, 0.5))) + 1, 0, 15).astype(np.uint8)
+        total[row.block] += _unpacked(row.counts).astype(np.uint64)
+    mean = float(total.sum()) / size
+    out = np.empty(total.shape, np.uint8)
+    for own, counts in zip(out, total, strict=True):  # a block at a time, so the driver holds one sketch
+        excess = (counts - mean) / (6 * np.sqrt(mean) + 8)
+        own[:] = np.clip(np.floor(np.log2(np.maximum(excess, 0.5))) + 1, 0, 15)
+    return out.reshape(-1)
 
 
 def _packed(counts: np.ndarray) -> bytes:

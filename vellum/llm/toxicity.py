@@ -208,7 +208,7 @@ def _train_step(m: Model, rows: np.ndarray, at: np.ndarray, y: np.ndarray, state
             target -= move.astype(np.float32)
 
 
-def fit(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
+def fit(texts: list[str | None] | pa.ChunkedArray, labels: list[int], seed: int = 0) -> Model:
     """A model from labelled texts; every fifth is kept back for the thresholds."""
     rng = np.random.default_rng(seed)
     m = _new_model(rng)
@@ -217,7 +217,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
         m.fitted = False
         return m
     rows, at, lang, known = [], [0], [], _language_words()
-    for c in wordhash.chunks(pa.array(texts, pa.string())):
+    for c in wordhash.chunks(texts if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.string())):
         rows.append(word_rows(c))
         at += (c.word_at[1:] + at[-1]).tolist()
         lang.append(languages(c, known))
@@ -272,8 +272,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = known.where("toxic = 0").orderBy(order, "doc_id").limit(TRAIN_ROWS // 2).union(known.where("toxic = 1").orderBy(order, "doc_id").limit(TRAIN_ROWS // 2))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most TRAIN_ROWS ids
     rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
-    found = rows.withColumn("o", order).orderBy("o", "doc_id", "text").limit(TRAIN_ROWS).select("text", "toxic").collect()
-    return fit([r.text for r in found], [r.toxic for r in found])
+    found = rows.withColumn("o", order).orderBy("o", "doc_id", "text").limit(TRAIN_ROWS).select("text", "toxic").toArrow()
+    return fit(found.column("text"), found.column("toxic").to_pylist())
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
