@@ -1,5 +1,7 @@
 """Facts about single operators, restated as rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +169,22 @@ def test_gate(spark):
     assert 0 <= recall[0] <= recall[1] <= 1
 
 
+def test_content_recall(spark):
+    """Multisets of grams, the last section of a key, Chinese pairs; both versions parsed once and shuffled once."""
+    zh = "深度学习模型方法有效证据" * 2
+    before = "# T\n\n## 1. A\n\nold old text\n\n## 1. B\n\nalpha alpha alpha beta\n\n## 2. C\n\nsame words here\n\n## 3. D\n\nis it\n\n## 4. E\n\ngone"
+    after = "# T\n\n## 1. B\n\nalpha beta alpha alpha alpha\n\n## 2. C\n\nsame words here\n\n## 3. D\n\nno\n\n## 5. F\n\nnew"
+    df = pairs(spark, (before, after), (f"## 1. X\n\n{zh}", f"## 1. X\n\n{zh[:12]}"), (None, None), ("## 1. X\n\n`" + zh + "` " + "plain words " * 20, "## 1. X\n\nplain words"))
+    out = gate.content_recall(df)
+    rows = {(r.doc_id, r.key): (r.retained, r.total) for r in out.collect()}
+    # 1. B: alpha three times, beta, alpha alpha twice, alpha beta
+    assert {k: v for k, v in rows.items() if k[0] == 0} == {(0, "n:1"): (7, 7), (0, "n:2"): (5, 5), (0, "n:3"): (0, 0)}
+    assert rows[1, "n:1"] == (21, 45) and rows[2, "document"] == (0, 0) and rows[3, "n:1"] == (3, 79)
+    assert {r.recall for r in out.where("total = 0").collect()} == {1.0}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("max_by(") and plan.count("Join") == 0 and plan.count("Generate explode") == 1 and len(re.findall(r"Scan|LocalTableScan", plan)) == 1
+
+
 def test_texture(spark):
     plain = "# T\n\n" + "\n\n".join(f"## {k}. P\n\n" + "\n\n".join("Words go on here." for _ in range(k)) for k in range(1, 10))
     df = spark.createDataFrame([(1, manuscript()), (2, plain), (3, ""), (4, "# 5 Only heading")], "doc_id long, t string")

@@ -38,27 +38,26 @@ def document_facts(pairs: DataFrame, suffix: str = ".md") -> DataFrame:
 
 def grams(body: Column, lang: Column) -> Column:
     """Content grams of a section: CJK pairs and triples, or content words and pairs of them."""
-    low, none = F.lower(T.squeeze(body)), F.array().cast("array<string>")
+    low, none = F.lower(body), F.array().cast("array<string>")
     zh = T.let(F.array_join(T.find_all(low, T.CJK), ""), lambda t: F.filter(F.concat(T.char_grams(t, 2), T.char_grams(t, 3)), lambda g: ~g.rlike(rf"^[{P.ZH_VECTOR_FUNCTION}]+$")))
     content = F.filter(T.words(low), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(P.VECTOR_STOPWORDS)))
     pairs = lambda w: F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.array_join(F.slice(w, i, 2), " "))).otherwise(none)
     return F.when(lang == "zh", zh).otherwise(T.let(content, lambda w: F.concat(w, pairs(w))))
 
 
-def _candidates(pairs: DataFrame, column: str) -> DataFrame:
-    """One section for each key: the last; a title above others isn't one."""
-    carry = ("language",) if "language" in pairs.columns else ()
-    rows = segment.sections(pairs, column, carry).where(~((F.col("level") == 1) & (F.col("n_sections") > 1)))
-    last = rows.groupBy("doc_id", "key", *carry).agg(F.max_by(F.struct("title", "body"), "pos").alias("x"))
-    return last.select("doc_id", "key", *carry, "x.title", "x.body")
-
-
 def _versions(pairs: DataFrame) -> DataFrame:
-    """doc_id, key, then title and body before and after (null where there is no such section): one aggregation over both versions."""
+    """doc_id, key, then title and body before and after (null where there is no such section), from one parse and one aggregation.
+
+    One section for each key: the last; a title above others isn't one.
+    """
     carry = [c for c in ("language",) if c in pairs.columns]
-    both = _candidates(pairs, "before").withColumn("side", F.lit("b")).union(_candidates(pairs, "after").withColumn("side", F.lit("a")))
-    of = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    return both.groupBy("doc_id", "key", *carry).agg(of("b", "title").alias("before_title"), of("b", "body").alias("before_body"), of("a", "title").alias("after_title"), of("a", "body").alias("after_body"))
+    plain = lambda array: F.filter(array, lambda s: ~((s["level"] == 1) & (F.size(array) > 1)))
+    placed = lambda array, side: F.transform(array, lambda s, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), s["key"].alias("key"), s["level"].alias("level"), s["title"].alias("title"), s["body"].alias("body")))
+    sides = [T.let(placed(segment.keyed_array(F.col(c)), c), plain) for c in ("before", "after")]
+    rows = pairs.select("doc_id", *carry, F.explode(F.concat(*sides)).alias("s"))
+    last = lambda side: F.max_by(F.when(F.col("s.side") == side, F.struct("s.title", "s.body")), F.when(F.col("s.side") == side, F.col("s.pos")))
+    both = rows.groupBy("doc_id", F.col("s.key").alias("key"), *carry).agg(last("before").alias("b"), last("after").alias("a"))
+    return both.select("doc_id", "key", *carry, F.col("b.title").alias("before_title"), F.col("b.body").alias("before_body"), F.col("a.title").alias("after_title"), F.col("a.body").alias("after_body"))
 
 
 def section_retention(pairs: DataFrame) -> DataFrame:
@@ -82,13 +81,36 @@ def _counted(rows: DataFrame, by: list[str]) -> DataFrame:
     return flat.groupBy(*by, "gram").agg(F.sum(F.when(F.col("side") < 0, 1).otherwise(0)).alias("nb"), F.sum(F.when(F.col("side") > 0, 1).otherwise(0)).alias("na"))
 
 
+def _chinese(pairs: DataFrame) -> DataFrame:
+    """The pairs with language zh or other.  Cleaning takes characters away only, so texts that have few CJK ones needn't be cleaned to tell."""
+    few = T.cjk_count(F.concat(*(F.coalesce(c, F.lit("")) for c in ("before", "after")))) < 10
+    cleaned = T.language(F.concat_ws("\n", *(T.clean(F.col(c), ".md") for c in ("before", "after"))))
+    return pairs.select("doc_id", "before", "after", F.when(few | (cleaned != "zh"), "other").otherwise("zh").alias("language"))
+
+
+def _kept(x: Column, y: Column) -> Column:
+    """How many of an array's grams another has too, as multisets.  One pass over both, sorted."""
+    placed = lambda g, side: F.transform(g, lambda v: F.struct(v.alias("g"), F.lit(side).alias("side")))
+
+    def step(s: Column, v: Column) -> Column:
+        left = v["side"] == 0
+        open_ = F.when(s["g"] == v["g"], s["n"]).otherwise(F.lit(0).cast("long"))
+        met = ~left & (open_ > 0)
+        return F.struct(v["g"].alias("g"), F.when(left, open_ + 1).when(met, open_ - 1).otherwise(open_).alias("n"), F.when(met, s["kept"] + 1).otherwise(s["kept"]).alias("kept"))
+
+    return F.aggregate(F.sort_array(F.concat(placed(x, 0), placed(y, 1))), F.expr("named_struct('g', cast(null as string), 'n', 0L, 'kept', 0L)"), step, lambda s: s["kept"])
+
+
 def content_recall(pairs: DataFrame) -> DataFrame:
-    """doc_id, key, retained, total, recall: content grams of a matched section that are still there (1.0 if it had none)."""
-    rows = _versions(with_language(pairs)).where("before_title is not null and after_title is not null")
-    keys = rows.select("doc_id", "key")
-    sums = _counted(rows.select("doc_id", "key", "language", F.col("before_body").alias("x"), F.col("after_body").alias("y")), ["doc_id", "key"])
-    sums = sums.groupBy("doc_id", "key").agg(F.sum(F.least("nb", "na")).alias("retained"), F.sum("nb").alias("total"))
-    out = keys.join(sums, ["doc_id", "key"], "left").select("doc_id", "key", F.coalesce("retained", F.lit(0)).alias("retained"), F.coalesce("total", F.lit(0)).alias("total"))
+    """doc_id, key, retained, total, recall: content grams of a matched section that are still there (1.0 if it had none).
+
+    A section that is the same in both versions keeps all of its grams; those of others are counted inside their row.
+    """
+    rows = _versions(_chinese(pairs)).where("before_title is not null and after_title is not null")
+    x, y = (grams(F.col(f"{c}_body"), F.col("language")) for c in ("before", "after"))
+    rows = rows.select("doc_id", "key", x.alias("x"), F.when(F.col("before_body") != F.col("after_body"), y).alias("y"))
+    total = F.size("x").cast("long")
+    out = rows.select("doc_id", "key", F.when(F.col("y").isNull(), total).otherwise(_kept(F.col("x"), F.col("y"))).alias("retained"), total.alias("total"))
     return out.withColumn("recall", F.when(F.col("total") > 0, F.col("retained") / F.col("total")).otherwise(1.0))
 
 

@@ -44,13 +44,16 @@ def _pieces(column: str, after: bool) -> list[tuple[str, str]]:
     return out
 
 
+def _prose(lines: Column) -> Column:
+    """For each part its lines, joined: every PARTS-th from its own place on."""
+    part = lambda k: F.array_join(F.transform(F.sequence(F.lit(k), F.size(lines) - 1, F.lit(PARTS)), lambda n: F.get(lines, n)), "\n\n")
+    return F.array(*(F.when(F.size(lines) > k, part(k)).otherwise("") for k in range(PARTS)))
+
+
 def _spark(after: bool) -> Column:
-    lines = F.split(F.translate(F.coalesce("text", F.lit("")), "0123456789#", "abcdefghijh"), "\n", -1)
+    """One version, from the columns doc_id and prose."""
     i, stack, out = F.col("doc_id"), [], []
 
-    def prose(k: int) -> Column:
-        return F.array_join(F.filter(lines, lambda x, n: n % PARTS == k), "\n\n")
-
     for kind, value in _pieces("text", after):
         if kind == "drop":
             stack.append((value, out))
@@ -66,7 +69,7 @@ def _spark(after: bool) -> Column:
         elif kind == "num":
             out.append((i % int(value) + 2).cast("string"))
         else:
-            out.append(F.lit(value) if kind == "lit" else i.cast("string") if kind == "id" else prose(int(value)))
+            out.append(F.lit(value) if kind == "lit" else i.cast("string") if kind == "id" else F.get("prose", F.lit(int(value))))
     return F.concat(*out)
 
 
@@ -96,7 +99,9 @@ def _sql(after: bool) -> str:
 
 def manuscripts(docs: DataFrame) -> DataFrame:
     """documents(doc_id, text) -> doc_id, before, after."""
-    return docs.where("doc_id is not null").select("doc_id", _spark(False).alias("before"), _spark(True).alias("after"))
+    lines = F.split(F.translate(F.coalesce("text", F.lit("")), "0123456789#", "abcdefghijh"), "\n", -1)
+    rows = docs.where("doc_id is not null").select("doc_id", lines.alias("lines")).select("doc_id", _prose(F.col("lines")).alias("prose"))
+    return rows.select("doc_id", _spark(False).alias("before"), _spark(True).alias("after"))
 
 
 MANUSCRIPTS_SQL = f"m as (select doc_id, {_sql(False)} as before, {_sql(True)} as after from documents where doc_id is not null)"
