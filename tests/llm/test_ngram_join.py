@@ -2,6 +2,7 @@ import re
 
 import pyarrow.parquet as pq
 
+from vellum.llm import setjoin
 from vellum.llm.ngram_join import ngram_components
 
 
@@ -96,3 +97,15 @@ def test_crowds_that_share_a_key(spark):
             rows.append((g * 100 + i, " ".join(common + own)))
     rows += [(500 + i, " ".join(common + [f"u{i}_{j}" for j in range(6 + i % 4)])) for i in range(20)]
     assert run(spark, rows) == brute(rows)
+
+
+def test_pairs_meet_once(spark, monkeypatch):
+    """Sets that share many keys make one row in the tiles, not one for each key; none is lost where the carried keys are disjoint."""
+    rows = [(k, i, i) for i in range(3) for k in range(100)] + [(k, 7, 7) for k in (-3, -2, -1, 50)] + [(k, 8, 8) for k in (-6, -5, -4, 50)]
+    rows = spark.createDataFrame(rows, "key long, id long, label long")
+    nodes = spark.createDataFrame([(i, 100, [0] * setjoin.WORDS) for i in (0, 1, 2, 7, 8)], "id long, n long, sig array<long>")
+    want = [(a, b) for a in (0, 1, 2, 7, 8) for b in (0, 1, 2, 7, 8) if a < b]
+    monkeypatch.setattr(type(rows), "distinct", lambda self: self)
+    assert sorted(tuple(r) for r in setjoin._tiles(rows, nodes).collect()) == want
+    monkeypatch.setattr(setjoin, "CARRIED", 3)
+    assert sorted({tuple(r) for r in setjoin._tiles(rows, nodes).collect()}) == want

@@ -30,6 +30,8 @@ from vellum.llm.workspace import materialize, sized
 WORDS = 16
 #: Extra rounds for keys in which one component already has CROWD members, with so many leaders each.
 ROUNDS, CROWD, LEADERS = 3, 8, 4
+#: An id's keys that its rows carry in tiles, smallest first.
+CARRIED = 64
 
 
 def bitmap(keys: np.ndarray) -> np.ndarray:
@@ -161,14 +163,19 @@ def _tiles(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components in one key and in the same or neighbouring size band that the bitmaps can't rule out.
 
     In each key the members of its largest component meet the others only, never each other.
+    Two sets that share many keys meet at the smallest one only: each row carries its id's first
+    CARRIED keys, and the smallest that two such lists have in common is the smallest of all.
+    Pairs whose lists have none in common come from every shared key, and are made one at the end.
     """
     ids = materialize(rows.select("id").distinct(), "ids")
     sizes = rows.groupBy("key", "label").agg(F.count("*").alias("members"))
     crowd = sizes.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("crowd"))
     rows = rows.join(crowd, "key").select("key", "id", "label", (F.col("label") == F.col("crowd")).alias("crowd"))
-    rows = rows.join(nodes.select("id", "n", "sig").join(sized(ids), "id", "left_semi"), "id")
+    firsts = rows.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, CARRIED).alias("firsts"))
+    rows = rows.join(nodes.select("id", "n", "sig").join(sized(ids), "id", "left_semi").join(firsts, "id"), "id")
     rows = materialize(rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9)), "tiles")
-    of = lambda x, part: part.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "crowd", "n", "sig")), (F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))) if x == "a" else F.col("band")).alias("tile"))
+    of = lambda x, part: part.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "crowd", "n", "sig", "firsts")), (F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))) if x == "a" else F.col("band")).alias("tile"))
     once = F.col("crowd_b") | (F.col("id_a") < F.col("id_b"))
-    pairs = of("a", rows.where("not crowd")).join(of("b", rows), ["key", "tile"]).where((F.col("label_a") != F.col("label_b")) & once & _may_link("a", "b"))
-    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    here = F.coalesce(F.array_min(F.array_intersect("firsts_a", "firsts_b")) == F.col("key"), F.lit(True))
+    pairs = of("a", rows.where("not crowd")).join(of("b", rows), ["key", "tile"]).where((F.col("label_a") != F.col("label_b")) & once & _may_link("a", "b") & here)
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
