@@ -1,5 +1,6 @@
 import pyarrow.parquet as pq
 
+from vellum.llm import line_dedup
 from vellum.llm.line_dedup import dedup_lines
 
 
@@ -67,3 +68,13 @@ def test_frequent_tokens(spark, sf_dir, monkeypatch):
     monkeypatch.setattr("vellum.llm.line_dedup.CROWD", 3)
     test_against_brute_force(spark, sf_dir)
     test_edges(spark)
+
+
+def test_large_tables_go_once_read(spark, monkeypatch):
+    """Tables with tokens, prefixes or bitmaps are deleted while the operator runs; the others are there for the result."""
+    made, gone = [], []
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name="table", write=line_dedup.materialize: made.append((name, write(df, name))) or made[-1][1])
+    monkeypatch.setattr(line_dedup, "discard", lambda table, delete=line_dedup.discard: gone.append(table) or delete(table))
+    assert run(spark, [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "a b c d e f g h i")]) == [(1, "a b c d e f g h", []), (2, "", [0]), (3, "", [0])]
+    wide = [t for n, t in made if {"tokens", "prefix", "s0"} & set(t.columns) or n == "near"]
+    assert len(wide) > 4 and all(any(t is g for g in gone) for t in wide)

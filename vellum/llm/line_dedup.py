@@ -111,6 +111,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     shared = postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     shared = sized(materialize(shared, "shared"), 2 * KEYS)
     near = materialize(postings.join(shared, "key").groupBy("key", "id").agg(F.first("n").alias("n"), F.first("at").alias("at")), "near")
+    members = materialize(sets.select("id", "d", "h", "line"), "members")
+    discard(sets)  # prefixes are in near, as far as they are shared
     ids = sized(materialize(near.select("id").distinct(), "ids"), KEYS)
     spots = first.join(ids, "id", "left_semi").select("id", "first")
     wanted = sized(materialize(spots.select("id", "first.*"), "spots"), KEYS)
@@ -127,7 +129,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lead = rows.groupBy("key").agg(F.min(F.struct("first", "id", "n", *bits)).alias("x")).select("key", F.col("x.id").alias("b"), *(F.col(f"x.{c}").alias(f"{c}_b") for c in ("n", *bits)))
     stars = rows.join(lead, "key").where((F.col("id") != F.col("b")) & _fits(F.col("n"), F.col("n_b"), of(""), of("_b"))).select(F.col("id").alias("a"), "b").distinct()
     links = _verified(stars, sigs)
-    rows = _with_common(rows, near)
+    met, rows = rows, _with_common(rows, near)
+    for table in (met, near):
+        discard(table)
     left = rows.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
     later, earlier = (part.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "first", "n", "at", "common", *bits))) for x, part in (("a", left), ("b", rows)))
     both = F.col("n_a") + F.col("n_b")
@@ -136,11 +140,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     fits = fits & (F.col("common_a").isNull() | (F.array_min(F.array_intersect("common_a", "common_b")) == F.col("key")))
     rest = later.join(earlier, "key").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     gone = materialize(links.select("a").union(_verified(rest, sigs).select("a")).distinct(), "gone")
+    for table in (rows, sigs):
+        discard(table)
 
     # all lines of a class with an earlier partner go, and all but the first of the others
     fate = first.join(gone.select(F.col("a").alias("id"), F.lit(True).alias("gone")), "id", "left").where("gone or copies > 1").select("id", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     fate = sized(materialize(fate, "fate"), KEYS // 4)
-    return sets.select("id", "d", "h", "line").join(fate, "id").where(F.col("gone") | (F.struct("d", "h", "line") != F.col("first"))).select("d", "h", "line")
+    return members.join(fate, "id").where(F.col("gone") | (F.struct("d", "h", "line") != F.col("first"))).select("d", "h", "line")
 
 
 def _with_common(rows: DataFrame, near: DataFrame) -> DataFrame:
