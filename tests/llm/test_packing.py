@@ -48,6 +48,33 @@ def test_tokens_as_the_tokenizer_gives_them():
     assert [x.tolist() for x in CachedTokenizer(word_tokenizer()).encode(odd)] == [plain.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_tokens_of_random_words():
+    """Letters of one and of two bytes, points, case and marks in any order: the tokenizer's ids, met first or known."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abzAZ\xdf\xe9\xc9\xff\xd7\xf7\xaa\xb5\u0301\u03a3\u0130", k=rng.randrange(1, 9))) + "".join(rng.choices(".,!?#%'&<|>_^=", k=rng.randrange(4))) for _ in range(3000)]
+    texts = [" ".join(texts[i : i + 3]) for i in range(0, 3000, 3)] + ["\xc9A\xd6 \xdcber,%%% \xa0\xe9\x85z\n\xc0."]
+    plain, own = Tokenizer.from_file(word_tokenizer()), CachedTokenizer(word_tokenizer())
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in own.encode(texts)] == want
+
+
+def test_new_words_without_normalization():
+    """Words of Latin-1 letters and ASCII points are parted here: the normalizing tokenizer gets the points alone, each once."""
+    own, met = CachedTokenizer(word_tokenizer()), []
+
+    class Recorder:
+        def encode_batch_fast(self, texts, to=own.tokenizer, **kw):
+            met.extend(texts)
+            return to.encode_batch_fast(texts, **kw)
+
+    text = "qwzx### qwzx,%%% Qwzx \xc9qwzx. \xe9qwzx### \xe9qwzx,%%%"
+    plain = own.tokenizer
+    own.tokenizer = Recorder()
+    assert own.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sorted(met) == ["###", ",%%%", "."]
+
+
 def check(spark, rows, capacity=4096):
     out = pack_documents(spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, length int"), word_tokenizer(), capacity).collect()
     plain = Tokenizer.from_file(word_tokenizer())

@@ -17,11 +17,13 @@ columns of the input play no part.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain, compress, count, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -38,97 +40,107 @@ PARTS = 64
 CACHE_WORDS, CACHE_CHARS = 500_000, 8_000_000
 
 
-def _split(text: str) -> list[str]:
-    """Blank-separated words; ASCII ones in lower case, as the vocabulary has them."""
-    special = "<|" in text  # special tokens are told by their case
-    if text.isascii() and not special:
-        text = text.lower()
-    words = text.replace("\n", " ").split(" ")
-    return words if special or text.isascii() else [w.lower() if w.isascii() else w for w in words]
+#: A word of lower-case Latin-1 letters, then ASCII points: the vocabulary parts them there, and normalization leaves both as they are.
+_STEM = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)\Z").match
+
+
+def _latin(text: str) -> bool:
+    """Whether a text has only characters to U+00FF, which have one lower-case form whatever stands beside them."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
-def _point(word: str) -> bool:
-    """Whether a word is an ASCII letter and what stands before it, then one point: the vocabulary parts them there."""
-    return len(word) > 1 and word[-1] in ",.!?" and word[-2].isascii() and word[-2].isalpha()
+def _split(text: str) -> list[str]:
+    """Blank-separated words; those of Latin-1 texts, and ASCII ones, in lower case, as the vocabulary has them."""
+    if "<|" in text:  # special tokens are told by their case
+        return text.replace("\n", " ").split(" ")
+    if _latin(text):
+        return text.lower().replace("\n", " ").split(" ")
+    return [w.lower() if w.isascii() else w for w in text.replace("\n", " ").split(" ")]
 
 
 class CachedTokenizer:
     """Ids of texts as the tokenizer gives them, by way of their blank-separated words.
 
     The vocabulary drops white space and never joins across it, so a text's ids
-    are those of its words in turn.  Known words have their ids in one flat array.
+    are those of its words in turn.  Known words have their ids as bytes, little-endian.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.points = {p: self.tokenizer.encode(p, add_special_tokens=False).ids for p in ",.!?"}
+        # for words that normalization leaves as they are and that are one unit each
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.known: dict[str, int] = {}
+        self.known: dict[str, bytes] = {}
         self.chars = 0
-        self.flat = np.empty(0, "<u4")
-        self.starts = np.empty(0, np.int64)
-        self.sizes = np.empty(0, np.int64)
-
-    def _encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words, many letters-only ones to a text: each of those is one unit, whose last id alone ends a word."""
-        plain = [w for w in words if w.isalpha()]
-        found: dict[str, list[int]] = {}
-        parts = [plain[i : i + 400] for i in range(0, len(plain), 400)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
-            ids = e.ids
-            ends = np.flatnonzero(self.closing[ids]) + 1
-            if len(ends) == len(part):  # every word has one end at least, so each has just one
-                found.update(zip(part, (ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())), strict=True))
-        rest = [w for w in words if w not in found]
-        found.update(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-        return [found[w] for w in words]
-
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        """Ids of words, in the tokenizer's hands only once for each word without its point."""
-        stems = dict.fromkeys(w[:-1] if _point(w) else w for w in words)
-        new = [w for w in stems if w not in self.known]
-        found = dict(zip(new, self._encode_words(new), strict=True))
-        for w in stems:
-            if w not in found:
-                i = self.known[w]
-                found[w] = self.flat[self.starts[i] : self.starts[i] + self.sizes[i]].tolist()
-        return [found[w[:-1]] + self.points[w[-1]] if _point(w) else found[w] for w in words]
-
-    def _learn(self, words: list[str]) -> None:
-        ids = self._ids(words)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_split(t) for t in texts]
-        words = list(chain.from_iterable(split))
-        before = len(self.known), len(self.flat)
-        at = np.array(list(map(self.known.get, words, repeat(-1))), np.int64)
-        unknown = np.flatnonzero(at < 0).tolist()
-        missing = list(dict.fromkeys(words[i] for i in unknown))
-        if missing:
-            self._learn(missing)
-            at[unknown] = [self.known[words[i]] for i in unknown]
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        past = np.cumsum([len(own) for own in split])
+    def _encode_units(self, tokenizer, words: list[str]) -> dict[str, bytes]:
+        """Ids of letters-only words, many to a text: each is one unit, whose last id alone ends a word."""
+        found: dict[str, bytes] = {}
+        parts = [words[i : i + 400] for i in range(0, len(words), 400)]
+        for part, e in zip(parts, tokenizer.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.closing[ids]) + 1)
+            if len(ends) == len(part):  # every word has one end at least, so each has just one
+                raw, ends = ids.tobytes(), ends.tolist()
+                found.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+        return found
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct unknown words, in the tokenizer's hands only once for each stem."""
+        found: dict[str, bytes] = {}
+        parted, units, rest = [], {}, []
+        for w in words:
+            m = _STEM(w)
+            if not m:
+                rest.append(w)
+                continue
+            stem, points = m.groups()
+            if points:
+                parted.append((w, stem, points))
+            if stem in self.known:
+                found[stem] = self.known[stem]
+            else:
+                units[stem] = None
+        found |= self._encode_units(self.plain, list(units))
+        points = dict.fromkeys(p for _, _, p in parted)
+        found |= self._encode_units(self.tokenizer, [w for w in rest if w.isalpha()])
+        rest = [w for w in chain(units, points, rest) if w not in found]
+        found.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        for w, stem, p in parted:
+            found[w] = found[stem] + found[p]
+        return found
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        ids, lost = [], []  # lost: places of unknown words, and those words
+        for text in texts:
+            words = _split(text)
+            own = list(map(self.known.get, words))
+            at = list(compress(count(), map(is_, own, repeat(None))))
+            lost.append((at, [words[i] for i in at]))
+            ids.append(own if at else [b"".join(own)])
+        missing = list(dict.fromkeys(chain.from_iterable(words for _, words in lost)))
+        found = self._encode_words(missing) if missing else {}
+        for own, (at, words) in zip(ids, lost, strict=True):
+            for i, w in zip(at, words, strict=True):
+                own[i] = found[w]
         size = sum(map(len, missing))
-        if before[0] >= CACHE_WORDS or self.chars + size > CACHE_CHARS:  # what comes now is rare: it isn't kept
-            for w in missing:
-                del self.known[w]
-            self.starts, self.sizes, self.flat = self.starts[: before[0]], self.sizes[: before[0]], self.flat[: before[1]]
-        else:
+        if len(self.known) < CACHE_WORDS and self.chars + size <= CACHE_CHARS:  # what comes later is rare: it isn't kept
+            self.known.update((w, found[w]) for w in missing)
             self.chars += size
-        return np.split(ids, ends[past[:-1] - 1]) if len(split) > 1 else [ids]
+        return list(map(b"".join, ids))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(x, "<u4") for x in self.encode_bytes(texts)]
 
 
 @lru_cache(maxsize=1)
@@ -140,11 +152,11 @@ def encoder(path: str) -> CachedTokenizer:
 _END = np.uint32(END).astype("<u4").tobytes()
 
 
-def _cut(doc: int | None, tokens: np.ndarray, capacity: int) -> list[tuple]:
+def _cut(doc: int | None, tokens: bytes, capacity: int) -> list[tuple]:
     """The pieces of a document that fills more than one sequence."""
-    raw = np.append(tokens, np.uint32(END)).astype("<u4")
-    pieces = [raw[start : start + capacity] for start in range(0, len(raw), capacity)]
-    return [(doc, i, i * capacity, len(p), zlib.crc32(p.tobytes())) for i, p in enumerate(pieces)]
+    raw = tokens + _END
+    pieces = [raw[start : start + 4 * capacity] for start in range(0, len(raw), 4 * capacity)]
+    return [(doc, i, i * capacity, len(p) // 4, zlib.crc32(p)) for i, p in enumerate(pieces)]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -156,9 +168,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows: list = []
-                for doc, tokens in zip(part.column(0).to_pylist(), own_encoder.encode(part.column(1).fill_null("").to_pylist()), strict=True):
-                    if len(tokens) < capacity:
-                        rows.append((doc, 0, 0, len(tokens) + 1, zlib.crc32(_END, zlib.crc32(tokens))))
+                for doc, tokens in zip(part.column(0).to_pylist(), own_encoder.encode_bytes(part.column(1).fill_null("").to_pylist()), strict=True):
+                    if len(tokens) < 4 * capacity:
+                        rows.append((doc, 0, 0, len(tokens) // 4 + 1, zlib.crc32(_END, zlib.crc32(tokens))))
                     else:
                         rows += _cut(doc, tokens, capacity)
                 yield pa.RecordBatch.from_arrays(
