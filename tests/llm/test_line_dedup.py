@@ -1,4 +1,8 @@
+import math
+import random
+
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from vellum.llm import line_dedup
 from vellum.llm.line_dedup import dedup_lines
@@ -78,3 +82,28 @@ def test_large_tables_go_once_read(spark, monkeypatch):
     assert run(spark, [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "a b c d e f g h i")]) == [(1, "a b c d e f g h", []), (2, "", [0]), (3, "", [0])]
     wide = [t for n, t in made if {"tokens", "prefix", "s0"} & set(t.columns) or n == "near"]
     assert len(wide) > 4 and all(any(t is g for g in gone) for t in wide)
+
+
+def test_tokens_of_candidates_only(spark, monkeypatch):
+    """No table holds the tokens of lines that share none, and of the others only those of pairs to verify are moved."""
+    made = []
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name="table", write=line_dedup.materialize: made.append((name, df.columns, write(df, name))) or made[-1][2])
+    sizes = {}
+    monkeypatch.setattr(line_dedup, "discard", lambda table, delete=line_dedup.discard: sizes.update({id(table): table.count()}) or delete(table))
+    base = [f"b{i}" for i in range(30)]
+    rows = [(i, " ".join(f"u{i}_{j}" for j in range(20))) for i in range(50)]
+    rows += [(60, " ".join(base)), (61, " ".join([*base, "x"])), (62, " ".join(base[:6])), (63, " ".join([*base[:6], *(f"z{j}" for j in range(20))]))]
+    assert run(spark, rows) == sorted(brute(rows), key=str)
+    arrays = {name: sizes[id(t)] for name, columns, t in made if {"tokens", "set"} & set(columns)}
+    assert arrays["tokens"] <= 4 and arrays["asked"] <= 2 and set(arrays) == {"tokens", "asked"}
+
+
+def test_prefix(spark):
+    """Where few or many of the first tokens are frequent, the prefix is the start of the whole order."""
+    rng = random.Random(6)
+    classes = bytes(rng.choice((0, 0, 0, 1, 5)) if i < line_dedup.SKETCH // 2 else 0 for i in range(line_dedup.SKETCH))
+    sets = [sorted(rng.randrange(2**63) // 2**16 * 2**16 + rng.randrange(line_dedup.SKETCH // k) for _ in range(n)) for n in (*range(1, 40), 500) for k in (1, 2)]
+    out = spark.createDataFrame([(x,) for x in sets], "t array<long>").select("t", line_dedup._prefix(F.col("t"), classes).alias("p")).collect()
+    for r in out:
+        whole = sorted(classes[t % line_dedup.SKETCH] << 58 | t >> 5 for t in r.t)
+        assert r.p == whole[: len(r.t) - math.ceil(len(r.t) * 0.75) + 1]

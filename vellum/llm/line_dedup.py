@@ -50,22 +50,26 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _tokens(words: Column) -> Column:
-    """Hashes of a line's five-word shingles, distinct; positive."""
-    window = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(SHINGLE))).bitwiseAND(F.lit(_LAST)))
+def _shingles(words: Column) -> Column:
+    """Hashes of a line's five-word shingles in their order; positive."""
+    last = lambda h: F.size(h) - SHINGLE + 1
+    window = lambda h: F.transform(F.slice(h, 1, last(h)), lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, SHINGLE))).bitwiseAND(F.lit(_LAST)))
     few = lambda h: F.array(F.xxhash64(h, F.size(h)).bitwiseAND(F.lit(_LAST)))
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.array_distinct(_let(hashes, lambda h: F.when(F.size(h) >= SHINGLE, window(h)).otherwise(few(h))))
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= SHINGLE, window(h)).otherwise(few(h)))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> d, h, line (where it stands), content, for every line that isn't blank."""
-    rows = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
+    rows = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("h"), F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "content"))
     return rows.where(F.trim("content") != "")
 
 
+def _content_shingles() -> Column:
+    return _shingles(F.array_remove(F.split(F.lower("content"), " "), ""))
+
+
 def _content_tokens() -> Column:
-    return _tokens(F.array_remove(F.split(F.lower("content"), " "), ""))
+    return F.array_distinct(_content_shingles())
 
 
 def line_tokens(docs: DataFrame) -> DataFrame:
@@ -73,9 +77,10 @@ def line_tokens(docs: DataFrame) -> DataFrame:
     return line_rows(docs).select("d", "h", "line", _content_tokens().alias("tokens"))
 
 
-def rarity(lines: DataFrame) -> bytes:
-    """For each bucket of the sketch a class, 0 to 30: the logarithm of its tokens beyond what chance puts there, over all lines; SKETCH bytes."""
-    counts = lines.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(SKETCH - 1)).alias("bucket")).count()
+def rarity(docs: DataFrame) -> bytes:
+    """For each bucket of the sketch a class, 0 to 30: the logarithm of its shingles beyond what chance puts there, over all lines; SKETCH bytes."""
+    # explode_outer: for explode the optimizer adds filters that make the shingles three times; no line is without one
+    counts = line_rows(docs).select(F.explode_outer(_content_shingles()).alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(SKETCH - 1)).alias("bucket")).count()
     found = {r.bucket: r["count"] for r in counts.collect()}  # SKETCH rows at most
     mean = sum(found.values()) / SKETCH
     usual = mean + 6 * mean**0.5 + 8
@@ -84,26 +89,36 @@ def rarity(lines: DataFrame) -> bytes:
 
 def _ordered(tokens: Column, classes: bytes) -> Column:
     """Tokens rarest first: the class of their bucket in the top bits, the rest of the hash below."""
-    kept = F.lit(classes)
-    of = lambda t: F.ascii(F.substring(kept, (t.bitwiseAND(F.lit(SKETCH - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
-    return F.sort_array(F.transform(tokens, lambda t: F.call_function("shiftleft", of(t).cast("long"), F.lit(58)).bitwiseOR(F.shiftright(t, 5))))
+    return F.sort_array(F.transform(tokens, lambda t: F.call_function("shiftleft", _class(t, classes).cast("long"), F.lit(58)).bitwiseOR(F.shiftright(t, 5))))
+
+
+def _class(token: Column, classes: bytes) -> Column:
+    return F.ascii(F.substring(F.lit(classes), (token.bitwiseAND(F.lit(SKETCH - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
+
 
+def _prefix(tokens: Column, classes: bytes) -> Column:
+    """The first of _ordered(tokens) that a similar set must share one of; tokens are sorted.
 
-def _bits(tokens: Column, word: int) -> Column:
-    """One word of a bitmap of 512 bits, in which each token sets one."""
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 7).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: F.when(F.shiftright(t, 13).bitwiseAND(F.lit(WORDS - 1)) == word, a.bitwiseOR(bit(t))).otherwise(a))
+    Most tokens are of class 0 and keep their order: where enough are among the first, the others aren't looked up.
+    """
+    n = F.size(tokens)
+    length = n - F.ceil(n * 0.75).cast("int") + 1
+    usual = F.filter(F.slice(tokens, 1, length + F.shiftright(length, 2) + 4), lambda t: _class(t, classes) == 0)
+    return _let(usual, lambda u: F.when(F.size(u) >= length, F.transform(F.slice(u, 1, length), lambda t: F.shiftright(t, 5))).otherwise(F.slice(_ordered(tokens, classes), 1, length)))
+
+
+def _bits(word: int) -> Column:
+    """One word of a bitmap of 512 bits, in which each token t of a group sets one."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("t", 7).bitwiseAND(F.lit(63)).cast("int"))
+    return F.bit_or(F.when(F.shiftright("t", 13).bitwiseAND(F.lit(WORDS - 1)) == word, bit).otherwise(F.lit(0).cast("long")))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> d, h, line of every line to which an earlier one is similar."""
-    lines = materialize(line_tokens(docs), "lines")
-    classes = rarity(lines)
-    n = F.size("tokens")
-    prefix = F.slice(_ordered(F.col("tokens"), classes), 1, n - F.ceil(n * 0.75).cast("int") + 1)
-    digest = F.xxhash64(F.sort_array("tokens"))
-    sets = materialize(lines.select("d", "h", "line", n.alias("n"), digest.alias("id"), prefix.alias("prefix")), "sets")
-    discard(lines)  # half of all bytes; the tokens of candidates are made again
+    classes = rarity(docs)
+    tokens = F.col("tokens")
+    lines = line_tokens(docs).select("d", "h", "line", F.sort_array(tokens).alias("tokens"))
+    sets = materialize(lines.select("d", "h", "line", F.size(tokens).alias("n"), F.xxhash64(tokens).alias("id"), _prefix(tokens, classes).alias("prefix")), "sets")
     place = F.struct("d", "h", "line")
     first = materialize(sets.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "classes")
 
@@ -118,20 +133,18 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     wanted = sized(materialize(spots.select("id", "first.*"), "spots"), KEYS)
     owners = sized(materialize(wanted.select("d", "h").distinct(), "owners"), KEYS)
     held = docs.withColumn("d", F.coalesce("doc_id", F.lit(_LAST))).withColumn("h", F.xxhash64("text")).join(owners, ["d", "h"], "left_semi").select("doc_id", "text")
-    tokens = line_rows(held).join(wanted, ["d", "h", "line"]).select("id", "d", "h", "line", _content_tokens().alias("tokens")).dropDuplicates(["id"])
-    tokens = materialize(tokens, "tokens")
+    tokens = materialize(line_rows(held).join(wanted, ["d", "h", "line"]).select("id", _content_tokens().alias("tokens")), "tokens")  # of a repeated row, as often
     bits = [f"s{i}" for i in range(WORDS)]
-    sigs = materialize(tokens.select("id", F.struct("d", "h", "line").alias("first"), "tokens", *(_bits(F.col("tokens"), i).alias(s) for i, s in enumerate(bits))), "signed")
-    discard(tokens)
+    signed = tokens.select("id", F.explode("tokens").alias("t")).groupBy("id").agg(*(_bits(i).alias(s) for i, s in enumerate(bits)))
+    sigs = materialize(signed.join(wanted.select("id", place.alias("first")), "id"), "signed")
 
-    rows = materialize(near.join(sigs.drop("tokens"), "id"), "rows")
+    rows = materialize(_with_common(near).join(sigs, "id"), "rows")
+    for table in (near, sigs):
+        discard(table)
     of = lambda x: [F.col(f"{s}{x}") for s in bits]
     lead = rows.groupBy("key").agg(F.min(F.struct("first", "id", "n", *bits)).alias("x")).select("key", F.col("x.id").alias("b"), *(F.col(f"x.{c}").alias(f"{c}_b") for c in ("n", *bits)))
     stars = rows.join(lead, "key").where((F.col("id") != F.col("b")) & _fits(F.col("n"), F.col("n_b"), of(""), of("_b"))).select(F.col("id").alias("a"), "b").distinct()
-    links = _verified(stars, sigs)
-    met, rows = rows, _with_common(rows, near)
-    for table in (met, near):
-        discard(table)
+    links = _verified(stars, tokens)
     left = rows.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
     later, earlier = (part.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "first", "n", "at", "common", *bits))) for x, part in (("a", left), ("b", rows)))
     both = F.col("n_a") + F.col("n_b")
@@ -139,8 +152,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     fits = (F.col("first_b") < F.col("first_a")) & _fits(F.col("n_a"), F.col("n_b"), of("_a"), of("_b")) & (7 * room >= 3 * both)
     fits = fits & (F.col("common_a").isNull() | (F.array_min(F.array_intersect("common_a", "common_b")) == F.col("key")))
     rest = later.join(earlier, "key").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    gone = materialize(links.select("a").union(_verified(rest, sigs).select("a")).distinct(), "gone")
-    for table in (rows, sigs):
+    gone = materialize(links.select("a").union(_verified(rest, tokens).select("a")).distinct(), "gone")
+    for table in (rows, tokens):
         discard(table)
 
     # all lines of a class with an earlier partner go, and all but the first of the others
@@ -149,14 +162,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return members.join(fate, "id").where(F.col("gone") | (F.struct("d", "h", "line") != F.col("first"))).select("d", "h", "line")
 
 
-def _with_common(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """rows with common: all shared tokens of a class where the row's own is frequent, else null."""
+def _with_common(near: DataFrame) -> DataFrame:
+    """near with common: all shared tokens of a class where the row's own is frequent, else null."""
     crowds = sized(materialize(near.groupBy("key").count().where(F.col("count") >= CROWD).select("key"), "crowds"), KEYS)
-    hot = rows.join(crowds, "key", "left_semi")
+    hot = near.join(crowds, "key", "left_semi")
     ids = sized(materialize(hot.select("id").distinct(), "crowd_ids"), KEYS)
     every = near.join(ids, "id", "left_semi").groupBy("id").agg(F.collect_list("key").alias("common"))
-    cold = rows.join(crowds, "key", "left_anti").withColumn("common", F.lit(None).cast("array<long>"))
-    return materialize(cold.unionByName(hot.join(every, "id")), "rows")
+    cold = near.join(crowds, "key", "left_anti").withColumn("common", F.lit(None).cast("array<long>"))
+    return cold.unionByName(hot.join(every, "id"))
 
 
 def _fits(na: Column, nb: Column, sa: list[Column], sb: list[Column]) -> Column:
@@ -165,11 +178,17 @@ def _fits(na: Column, nb: Column, sa: list[Column], sb: list[Column]) -> Column:
     return (100 * F.least(na, nb) >= 75 * F.greatest(na, nb)) & (na + nb >= 7 * apart)
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    left, right = (sigs.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
+def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar; only tokens of their own classes are moved, once for each class."""
+    pairs = materialize(pairs, "pairs")
+    ids = sized(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair_ids"), KEYS)
+    asked = materialize(tokens.join(ids, "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("set")), "asked")
+    left, right = (asked.select(F.col("id").alias(x), F.col("set").alias(f"t{x}")) for x in "ab")
     both = F.size(F.array_intersect("ta", "tb"))
     joined = pairs.join(left, "a").join(right, "b")
-    return materialize(joined.where(100 * both >= 75 * (F.size("ta") + F.size("tb") - both)).select("a", "b"), "links")
+    links = materialize(joined.where(100 * both >= 75 * (F.size("ta") + F.size("tb") - both)).select("a", "b"), "links")
+    discard(asked)
+    return links
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
