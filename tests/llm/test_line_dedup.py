@@ -107,3 +107,39 @@ def test_prefix(spark):
     for r in out:
         whole = sorted(classes[t % line_dedup.SKETCH] << 58 | t >> 5 for t in r.t)
         assert r.p == whole[: len(r.t) - math.ceil(len(r.t) * 0.75) + 1]
+
+
+def recorded(monkeypatch):
+    """Names and rows of the tables that the operator makes, as they are when made."""
+    made = []
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name="table", write=line_dedup.materialize: (out := write(df, name), made.append((name, out.collect())))[0])
+    return made
+
+
+def test_lines_cut_once(spark, monkeypatch):
+    """All lines are cut into tokens once; after that only the documents of classes that may be similar."""
+    seen = []
+    monkeypatch.setattr(line_dedup, "line_rows", lambda docs, cut=line_dedup.line_rows: seen.append(docs.count()) or cut(docs))
+    rows = [(i, " ".join(f"u{i}_{j}" for j in range(20))) for i in range(20)] + [(30, "a b c d e f"), (31, "A b c d e f"), (32, "a b c d e f g h")]
+    assert run(spark, rows) == sorted(brute(rows), key=str)
+    assert seen[0] == len(rows) and all(n < 3 for n in seen[1:])
+
+
+def test_few_shared_tokens(spark, monkeypatch):
+    """The tokens of lines that share one or two only aren't fetched; similar lines of any length are found."""
+    made = recorded(monkeypatch)
+    rows = [(i, " ".join(["s1 s2 s3 s4 s5", *(f"u{i}_{j}" for j in range(5))])) for i in range(6)]
+    assert run(spark, rows) == sorted(brute(rows), key=str)
+    assert [len(r) for name, r in made if name == "tokens"] == [0]
+    rows = [(100 * n + k, " ".join([f"v{n}_{j}" for j in range(n + 4)] + ["x"] * k)) for n in range(1, 14) for k in range(5)]
+    rows += [(5000 + n, " ".join(f"w{n}_{j}" for j in range(n))) for n in range(1, 6)] + [(6000 + n, " ".join(f"W{n}_{j}" for j in range(n))) for n in range(1, 6)]
+    assert run(spark, rows) == sorted(brute(rows), key=str)
+
+
+def test_frequent_beyond_the_head(spark, monkeypatch):
+    """Lines mostly made of one passage don't meet at its tokens, wherever they stand in the hash order."""
+    made = recorded(monkeypatch)
+    rows = [(i, " ".join([f"p{j}" for j in range(40)] + [f"u{i}_{j}" for j in range(20)])) for i in range(40)]
+    assert run(spark, rows) == sorted(brute(rows), key=str)
+    assert max(len(r) for name, r in made if name == "lacking") == 40
+    assert [len(r) for name, r in made if name == "near"] == [0]

@@ -2,12 +2,19 @@
 
 A line's tokens are its five-word shingles (fewer words: the line itself),
 lower-cased; words are parted by blanks.  Lines with equal tokens are one
-class.  Tokens are ordered rarest first, by the logarithm of a hashed count over
-all lines, then by hash; classes that share a
+class.  Tokens are ordered rarest first, by the logarithm of a hashed count,
+then by hash; classes that share a
 token of their prefixes are compared when length, positional and bit-count
 filters leave room for a Jaccard similarity of 0.75, and a later line goes when
 any earlier one is that similar.
 
+All lines are cut into tokens once.  Their first tokens by hash are kept and
+counted; only lines too full of frequent ones to have their prefix among these
+are cut again, one line a class, and all their tokens counted.  Prefixes are
+longer by SHARED - 1 tokens than one common token asks for: similar lines have
+SHARED in common there, so classes with fewer shared ones are dropped before
+their tokens are fetched.
+
 Who goes needs one earlier partner, not all: classes first meet the earliest
 class of each shared token, and only those not settled that way meet the rest
 of their tokens' classes, so a large group isn't compared pair by pair.  Classes
@@ -38,6 +45,8 @@ SHINGLE = 5
 CROWD = 64
 #: 64-bit words of a line's bitmap.
 WORDS = 8
+#: Tokens that similar lines have in common in their prefixes (shorter lines: fewer).
+SHARED = 3
 #: Counters of the rarity sketch.
 SKETCH = 1 << 16
 #: Rows of a few longs that are broadcast at most; of one long, twice as many.
@@ -77,14 +86,21 @@ def line_tokens(docs: DataFrame) -> DataFrame:
     return line_rows(docs).select("d", "h", "line", _content_tokens().alias("tokens"))
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """For each bucket of the sketch a class, 0 to 30: the logarithm of its shingles beyond what chance puts there, over all lines; SKETCH bytes."""
-    # explode_outer: for explode the optimizer adds filters that make the shingles three times; no line is without one
-    counts = line_rows(docs).select(F.explode_outer(_content_shingles()).alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(SKETCH - 1)).alias("bucket")).count()
-    found = {r.bucket: r["count"] for r in counts.collect()}  # SKETCH rows at most
+def _counts(arrays: DataFrame) -> dict[int, int]:
+    """arrays(tokens) -> how many tokens each bucket of the sketch gets."""
+    counts = arrays.select(F.explode_outer("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(SKETCH - 1)).alias("bucket")).count()
+    return {r.bucket: r["count"] for r in counts.where("bucket is not null").collect()}  # SKETCH rows at most
+
+
+def _usual(found: dict[int, int]) -> float:
+    """Up to so many tokens chance may put into a bucket."""
     mean = sum(found.values()) / SKETCH
-    usual = mean + 6 * mean**0.5 + 8
-    return bytes(min(30, max(0, found.get(i, 0) / usual).__trunc__().bit_length()) for i in range(SKETCH))
+    return mean + 6 * mean**0.5 + 8
+
+
+def _rarity(found: dict[int, int], usual: float) -> bytes:
+    """For each bucket of the sketch a class, 0 to 30: the logarithm of its tokens beyond what chance puts there; SKETCH bytes."""
+    return bytes(min(30, int(found.get(i, 0) / usual).bit_length()) for i in range(SKETCH))
 
 
 def _ordered(tokens: Column, classes: bytes) -> Column:
@@ -93,18 +109,45 @@ def _ordered(tokens: Column, classes: bytes) -> Column:
 
 
 def _class(token: Column, classes: bytes) -> Column:
-    return F.ascii(F.substring(F.lit(classes), (token.bitwiseAND(F.lit(SKETCH - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
+    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")  # folded to a literal
+    return F.get(table, token.bitwiseAND(F.lit(SKETCH - 1)).cast("int"))
+
+
+def _overlap(n: Column) -> Column:
+    """Tokens that a set has in common with a similar one at least."""
+    return F.ceil(n * 0.75).cast("int")
+
+
+def _more(n: Column) -> Column:
+    """By how many tokens a prefix is longer so that similar sets have SHARED in common there, or all that they must."""
+    return F.least(F.lit(SHARED), _overlap(n)) - 1
+
+
+def _enough(n: Column) -> Column:
+    """Shared tokens in the longer prefix without which no set is similar: as many as for the smallest set that may be."""
+    return F.least(F.lit(SHARED), _overlap(_overlap(n)))
+
+
+def _length(n: Column) -> Column:
+    return n - _overlap(n) + 1
+
 
+def _head(tokens: Column, length: Column) -> Column:
+    """The first of sorted tokens, some more than length: most are of class 0 and keep their order."""
+    return F.slice(tokens, 1, length + F.shiftright(length, 3) + 2)
 
-def _prefix(tokens: Column, classes: bytes) -> Column:
-    """The first of _ordered(tokens) that a similar set must share one of; tokens are sorted.
 
-    Most tokens are of class 0 and keep their order: where enough are among the first, the others aren't looked up.
-    """
+def _first(head: Column, n: Column, length: Column, classes: bytes) -> Column:
+    """The first of _ordered(tokens), of n tokens with this head; null where the head is too full of frequent ones to tell."""
+    whole = F.when(F.size(head) == n, F.slice(_ordered(head, classes), 1, length))
+    return _let(F.filter(head, lambda t: _class(t, classes) == 0), lambda u: F.when(F.size(u) >= length, F.transform(F.slice(u, 1, length), lambda t: F.shiftright(t, 5))).otherwise(whole))
+
+
+def _prefix(tokens: Column, classes: bytes, more: Column | None = None) -> Column:
+    """The first of _ordered(tokens) that a similar set must share one of, and more; tokens are sorted."""
     n = F.size(tokens)
-    length = n - F.ceil(n * 0.75).cast("int") + 1
-    usual = F.filter(F.slice(tokens, 1, length + F.shiftright(length, 2) + 4), lambda t: _class(t, classes) == 0)
-    return _let(usual, lambda u: F.when(F.size(u) >= length, F.transform(F.slice(u, 1, length), lambda t: F.shiftright(t, 5))).otherwise(F.slice(_ordered(tokens, classes), 1, length)))
+    length = _length(n) if more is None else _length(n) + more
+    return F.coalesce(_first(_head(tokens, length), n, length, classes), F.slice(_ordered(tokens, classes), 1, length))
 
 
 def _bits(word: int) -> Column:
@@ -115,25 +158,32 @@ def _bits(word: int) -> Column:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> d, h, line of every line to which an earlier one is similar."""
-    classes = rarity(docs)
-    tokens = F.col("tokens")
+    tokens, n = F.col("tokens"), F.col("n")
     lines = line_tokens(docs).select("d", "h", "line", F.sort_array(tokens).alias("tokens"))
-    sets = materialize(lines.select("d", "h", "line", F.size(tokens).alias("n"), F.xxhash64(tokens).alias("id"), _prefix(tokens, classes).alias("prefix")), "sets")
+    lines = lines.select("d", "h", "line", F.size(tokens).alias("n"), F.xxhash64(tokens).alias("id"), _head(tokens, _length(F.size(tokens)) + _more(F.size(tokens))).alias("prefix"))
+    sets = materialize(lines, "sets")
     place = F.struct("d", "h", "line")
     first = materialize(sets.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "classes")
+    members = materialize(sets.select("id", "d", "h", "line"), "members")
+    prefixes = _prefixes(docs, sets, first)
+    discard(sets)
 
-    postings = sets.select("id", "n", F.posexplode("prefix").alias("at", "key"))
+    postings = prefixes.select("id", "n", F.posexplode("prefix").alias("at", "key"))
     shared = postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     shared = sized(materialize(shared, "shared"), 2 * KEYS)
-    near = materialize(postings.join(shared, "key").groupBy("key", "id").agg(F.first("n").alias("n"), F.first("at").alias("at")), "near")
-    members = materialize(sets.select("id", "d", "h", "line"), "members")
-    discard(sets)  # prefixes are in near, as far as they are shared
+    found = materialize(postings.join(shared, "key").groupBy("key", "id").agg(F.first("n").alias("n"), F.first("at").alias("at")), "found")
+    for table in prefixes._vellum_parts:
+        discard(table)
+    able = found.groupBy("id").agg(F.count("*").alias("keys"), F.first("n").alias("n")).where(F.col("keys") >= _enough(n)).select("id")
+    able = sized(materialize(able, "able"), KEYS)
+    held = found.join(able, "id", "left_semi").where(F.col("at") < _length(n))
+    still = held.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    still = sized(materialize(still, "still"), 2 * KEYS)
+    near = materialize(held.join(still, "key", "left_semi"), "near")
+    discard(found)
     ids = sized(materialize(near.select("id").distinct(), "ids"), KEYS)
-    spots = first.join(ids, "id", "left_semi").select("id", "first")
-    wanted = sized(materialize(spots.select("id", "first.*"), "spots"), KEYS)
-    owners = sized(materialize(wanted.select("d", "h").distinct(), "owners"), KEYS)
-    held = docs.withColumn("d", F.coalesce("doc_id", F.lit(_LAST))).withColumn("h", F.xxhash64("text")).join(owners, ["d", "h"], "left_semi").select("doc_id", "text")
-    tokens = materialize(line_rows(held).join(wanted, ["d", "h", "line"]).select("id", _content_tokens().alias("tokens")), "tokens")  # of a repeated row, as often
+    wanted = _spots(first, ids)
+    tokens = materialize(_tokens_at(docs, wanted), "tokens")
     bits = [f"s{i}" for i in range(WORDS)]
     signed = tokens.select("id", F.explode("tokens").alias("t")).groupBy("id").agg(*(_bits(i).alias(s) for i, s in enumerate(bits)))
     sigs = materialize(signed.join(wanted.select("id", place.alias("first")), "id"), "signed")
@@ -149,7 +199,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     later, earlier = (part.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "first", "n", "at", "common", *bits))) for x, part in (("a", left), ("b", rows)))
     both = F.col("n_a") + F.col("n_b")
     room = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1) + F.least("at_a", "at_b")
-    fits = (F.col("first_b") < F.col("first_a")) & _fits(F.col("n_a"), F.col("n_b"), of("_a"), of("_b")) & (7 * room >= 3 * both)
+    fits = (7 * room >= 3 * both) & _fits(F.col("n_a"), F.col("n_b"), of("_a"), of("_b")) & (F.col("first_b") < F.col("first_a"))
     fits = fits & (F.col("common_a").isNull() | (F.array_min(F.array_intersect("common_a", "common_b")) == F.col("key")))
     rest = later.join(earlier, "key").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     gone = materialize(links.select("a").union(_verified(rest, tokens).select("a")).distinct(), "gone")
@@ -162,6 +212,43 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return members.join(fate, "id").where(F.col("gone") | (F.struct("d", "h", "line") != F.col("first"))).select("d", "h", "line")
 
 
+def _spots(first: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, d, h, line: where the first line of each of these classes stands."""
+    return sized(materialize(first.join(ids, "id", "left_semi").select("id", "first.*"), "spots"), KEYS)
+
+
+def _tokens_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, tokens of the lines at wanted(id, d, h, line); of a repeated row, as often."""
+    owners = sized(materialize(wanted.select("d", "h").distinct(), "owners"), KEYS)
+    held = docs.withColumn("d", F.coalesce("doc_id", F.lit(_LAST))).withColumn("h", F.xxhash64("text")).join(owners, ["d", "h"], "left_semi").select("doc_id", "text")
+    return line_rows(held).join(wanted, ["d", "h", "line"]).select("id", _content_tokens().alias("tokens"))
+
+
+def _prefixes(docs: DataFrame, sets: DataFrame, first: DataFrame) -> DataFrame:
+    """sets with the heads of their hash order -> id, n, prefix; the tables that it reads are its _vellum_parts."""
+    n, head = F.col("n"), F.col("prefix")
+    found = _counts(sets.select(head.alias("tokens")))
+    usual = _usual(found)
+    told = lambda classes: sets.select("id", "n", _first(head, n, _length(n) + _more(n), classes).alias("prefix"))
+    lacking = lambda table: sized(materialize(table.where("prefix is null").select("id").distinct(), "lacking"), KEYS)
+    classes = _rarity(found, usual)
+    if any(classes):
+        ids = lacking(told(classes))
+        if not ids.isEmpty():  # what they have beyond their heads may be as frequent
+            every = _counts(_tokens_at(docs, _spots(first, ids)))
+            classes = bytes(map(max, classes, _rarity(every, usual)))
+    parts = [materialize(told(classes), "prefixes")]
+    ids = lacking(parts[0])
+    if not ids.isEmpty():
+        whole = _tokens_at(docs, _spots(first, ids)).select("id", F.sort_array("tokens").alias("tokens"))
+        parts.append(materialize(whole.select("id", F.size("tokens").alias("n"), _prefix(F.col("tokens"), classes, _more(F.size("tokens"))).alias("prefix")), "prefixes"))
+    out = parts[0].where("prefix is not null")
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out._vellum_parts = parts
+    return out
+
+
 def _with_common(near: DataFrame) -> DataFrame:
     """near with common: all shared tokens of a class where the row's own is frequent, else null."""
     crowds = sized(materialize(near.groupBy("key").count().where(F.col("count") >= CROWD).select("key"), "crowds"), KEYS)
